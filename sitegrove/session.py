@@ -23,5 +23,5 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and the bench."""
     return (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", str(partitions)).config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").config("spark.sql.adaptive.enabled", "true").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").config("spark.sql.adaptive.enabled", "true").getOrCreate()
     )
