@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegrove.llm.leaks import leaked
 from sitegrove.llm.packing import WORD_PUNCT, containers, oversized_documents, pack_documents
+from sitegrove.llm.residue import residue
 from sitegrove.sources.tables import table
 
 
@@ -26,7 +28,28 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return containers(_packed(spark, sf))
 
 
-QUERIES = {"p6_found": p6_found, "p6_containers": p6_containers}
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Per test item: in how many documents its passage or answer leaked, and the longest run of words."""
+    return _leaks(spark, sf).groupBy("item_id", "field").agg(F.countDistinct("doc_id").alias("documents"), F.max("shared_words").alias("longest"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue(table(spark, sf, "documents")).select("doc_id").distinct()
+
+
+def p8_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return residue(table(spark, sf, "documents")).groupBy("reason").agg(F.count(F.lit(1)).alias("documents"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_reasons": p8_reasons}
 SQL = {
     "p6_found": f"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '{WORD_PUNCT}')) > (SELECT min(max_size) FROM size_limits WHERE target_table = 'documents')",
 }
