@@ -127,3 +127,170 @@ def url_identity(url: pd.Series) -> pd.Series:
 def resolve_url(href: pd.Series, base: pd.Series) -> pd.Series:
     """RFC 3986 resolution; null where either has no scheme to give."""
     return pd.Series([None if h is None else resolve(h.strip(" \t\n\r\f\v"), b) for h, b in zip(href, base)], dtype=object)
+
+
+# Native expressions
+
+_SCHEME = r"(?i)^([a-z][a-z0-9+.\-]*):"
+_AUTHORITY = r"(?i)^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#]*)"
+
+
+def _or_null(column: Column) -> Column:
+    return F.when(column != "", column)
+
+
+def protocol(url: Column) -> Column:
+    """The scheme with its colon, in lower case; null for a relative url."""
+    return _or_null(F.lower(F.regexp_extract(url, r"(?i)^([a-z][a-z0-9+.\-]*:)", 1)))
+
+
+def authority(url: Column) -> Column:
+    return _or_null(F.regexp_extract(url, _AUTHORITY, 1))
+
+
+def hostname(url: Column) -> Column:
+    return _or_null(F.regexp_extract(authority(url), r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1))
+
+
+def port(url: Column) -> Column:
+    """The port as written; null when there is none."""
+    return _or_null(F.regexp_extract(authority(url), r":([0-9]+)$", 1)).cast("int")
+
+
+def username(url: Column) -> Column:
+    return _or_null(F.regexp_extract(authority(url), r"^([^:@]*)(?::[^@]*)?@", 1))
+
+
+def password(url: Column) -> Column:
+    return _or_null(F.regexp_extract(authority(url), r"^[^:@]*:([^@]*)@", 1))
+
+
+def origin(url: Column) -> Column:
+    """Scheme, host and port as written; `file://` has no host."""
+    return _or_null(F.regexp_extract(url, r"(?i)^([a-z][a-z0-9+.\-]*://[^/?#]*)", 1))
+
+
+def path_and_name(url: Column) -> Column:
+    """What follows the authority, without query and fragment."""
+    return F.regexp_extract(url, r"(?i)^(?:[a-z][a-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+
+
+def file_name(url: Column) -> Column:
+    """The last path segment of an http(s) or file url that doesn't end in a slash."""
+    return _or_null(F.when(url.rlike(r"(?i)^(?:https?|file):"), F.regexp_extract(path_and_name(url), r"([^/]+)$", 1)))
+
+
+def extension(url: Column) -> Column:
+    """From the last dot of the file name; a name with no dot has an empty one, a url without file name none."""
+    return F.regexp_extract(file_name(url), r"(\.[^.]*)$", 1)
+
+
+def base_name(url: Column) -> Column:
+    return F.regexp_replace(file_name(url), r"\.[^.]*$", "")
+
+
+def directory(url: Column) -> Column:
+    """The path up to the last slash."""
+    return F.regexp_extract(path_and_name(url), r"^(.*/)", 1)
+
+
+def fragment(href: Column) -> Column:
+    """From the first `#`, empty when there is none, null for a null href."""
+    return F.regexp_extract(href, r"(?s)(#.*)$", 1)
+
+
+def with_fragment(href: Column, value: Column) -> Column:
+    """`href` with another fragment, which must begin with `#` or be empty; anything else gives null."""
+    bare = F.regexp_replace(href, r"(?s)#.*$", "")
+    return F.when((value == "") | value.startswith("#"), F.concat(bare, value))
+
+
+def query_map(url: Column) -> Column:
+    """The query string as a map of decoded names and values; a name without `=` has an empty value, the last one wins."""
+    raw = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
+
+    def decoded(part: Column) -> Column:
+        return F.coalesce(F.try_url_decode(part), part)
+
+    parts = F.filter(F.split(raw, "&"), lambda p: p != "")
+    pairs = F.transform(parts, lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("key"), decoded(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("value")))
+    keep = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda later: later["key"] == x["key"]))
+    return F.map_from_entries(keep)
+
+
+def href_type(href: Column) -> Column:
+    """inline, protocolRelative, rootRelative, absolute or relative; null (inline target) and data: are inline."""
+    trimmed = F.trim(href)
+    return (
+        F.when(href.isNull() | trimmed.rlike(r"(?i)^data:"), "inline").when(trimmed.startswith("//"), "protocolRelative").when(trimmed.startswith("/"), "rootRelative")
+        .when(trimmed.rlike(r"(?i)^[a-z+]+:"), "absolute").otherwise("relative")
+    )
+
+
+def effective_port(url: Column) -> Column:
+    return F.coalesce(port(url), F.when(protocol(url) == "http:", 80).when(protocol(url) == "https:", 443))
+
+
+def crossorigin(from_url: Column, to_url: Column) -> Column:
+    """Whether the target differs in protocol, host or port (with defaults); false for inline ends."""
+    differs = ~(protocol(from_url).eqNullSafe(protocol(to_url)) & F.lower(hostname(from_url)).eqNullSafe(F.lower(hostname(to_url))) & effective_port(from_url).eqNullSafe(effective_port(to_url)))
+    return F.when(from_url.isNull() | to_url.isNull(), False).otherwise(differs)
+
+
+def without_fragment(url: Column) -> Column:
+    """The identity of an asset's url in a graph."""
+    return F.regexp_replace(url, r"(?s)#.*$", "")
+
+
+def percent_encoded(url: Column) -> Column:
+    """Characters outside 0x21-0x7e as percent escapes of their UTF-8 bytes; escapes already there stay."""
+    chars = F.split(url, "")
+    return F.array_join(F.transform(chars, lambda c: F.when(c.rlike(r"^[\x21-\x7e]?$"), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "%$1"))), "")
+
+
+def relative_href(from_url: str, to_url: str) -> str:
+    """The shortest relative path from one url to another of the same origin; absolute otherwise."""
+    fs, fa, fp, _, _ = split_url(from_url)
+    ts, ta, tp, tq, tf = split_url(to_url)
+    if (fs, fa) != (ts, ta):
+        return to_url
+    here, there = fp.split("/")[:-1], tp.split("/")
+    common = 0
+    while common < len(here) and common < len(there) - 1 and here[common] == there[common]:
+        common += 1
+    out = "../" * (len(here) - common) + "/".join(there[common:])
+    if ":" in out.split("/")[0]:
+        out = "./" + out
+    return join_parts(None, None, out, tq, tf)
+
+
+def build(to_url: str | None, from_url: str | None, kind: str, non_bare: bool = False) -> str | None:
+    """The href of `kind` (rootRelative, relative, protocolRelative, absolute) that leads from one url to the other."""
+    if to_url is None:
+        return None
+    scheme, authority_, path, query, frag = split_url(to_url)
+    if kind == "absolute" or from_url is None:
+        return to_url
+    if kind == "protocolRelative":
+        return join_parts(None, authority_, path, query, frag)
+    b_scheme, b_authority, *_ = split_url(from_url)
+    if (b_scheme, b_authority) != (scheme, authority_):
+        return to_url
+    if kind == "rootRelative":
+        return join_parts(None, None, path or "/", query, frag)
+    out = relative_href(from_url, to_url)
+    return f"./{out}" if non_bare and not out.startswith((".", "/")) else out
+
+
+@F.pandas_udf(StringType())
+def build_href(to_url: pd.Series, from_url: pd.Series, kind: pd.Series) -> pd.Series:
+    return pd.Series([None if k is None else build(t, f, k) for t, f, k in zip(to_url, from_url, kind)], dtype=object)
+
+
+def data_url(content_type: Column, raw: Column) -> Column:
+    """The shorter of the percent-encoded and the base64 form of the bytes."""
+    text = F.decode(raw, "utf-8")
+    escaped = F.regexp_replace(F.url_encode(text), r"\+", "%20")
+    plain = F.concat(F.lit("data:"), F.coalesce(content_type, F.lit("")), F.lit(","), escaped)
+    coded = F.concat(F.lit("data:"), F.coalesce(content_type, F.lit("")), F.lit(";base64,"), F.base64(raw))
+    return F.when(F.octet_length(plain) <= F.octet_length(coded), plain).otherwise(coded)
