@@ -134,12 +134,10 @@ def inferred_type(content_type: Column, target_type: Column, extension: Column)
     """
     own = type_of_content_type(content_type)
 
+    above = F.create_map(*[x for t in sorted(registry.types) for x in (F.lit(t), F.array(*[F.lit(p) for p in sorted(registry.ancestors(t) - {t})] or [F.lit("")]))])
+
     def refines(new: Column, old: Column) -> Column:
-        pairs = [(new == t) & old.isin(*sorted(registry.ancestors(t) - {t})) for t in registry.types if len(registry.ancestors(t)) > 1]
-        out = F.lit(False)
-        for p in pairs:
-            out = out | F.coalesce(p, F.lit(False))
-        return out
+        return F.coalesce(F.array_contains(F.try_element_at(above, new), old), F.lit(False))
 
     general = own.isNull() | own.isin("Asset", "Image", "Font")
     second = F.when(general & target_type.isNotNull() & (own.isNull() | refines(target_type, own)), target_type).otherwise(own)
