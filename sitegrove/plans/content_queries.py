@@ -10,7 +10,8 @@ from sitegrove.functions.text import sniffed_charset, srcset_entries
 from sitegrove.operators import transforms as T
 from sitegrove.operators.traverse import inline_owner, populate
 from sitegrove.plans.pipeline import Pipeline
-from sitegrove.plans.tables_graph import HOLD, text_graph
+from sitegrove.plans.tables_graph import HOLD, narrow_graph, text_graph
+from sitegrove.session import cut
 from sitegrove.sinks import dot_lines
 from sitegrove.sources.loaders import assets_from_rows, unsupported_protocols
 from sitegrove.sources.tables import holding, table
@@ -72,7 +73,8 @@ def charsets(spark: SparkSession, sf: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Several transforms in a row, as a pipeline."""
     steps = Pipeline().merge_identical_assets().remove_duplicate_html_styles().if_(True).add_javascript_source_url().endif().remove_relations({"type": "HtmlAnchor"}).remove_unreferenced_assets({"is_initial": {"$ne": True}})
-    graph = steps.run(text_graph(spark, sf))
+    narrow = narrow_graph(spark, sf)
+    graph = steps.run(narrow.with_(cut(narrow.assets), cut(narrow.relations)), keep=True)
     return graph.relations.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 

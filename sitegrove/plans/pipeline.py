@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from sitegrove.graph import Graph
+from sitegrove.session import cut
 
 #: Transforms by name.
 TRANSFORMS: dict[str, Callable[..., Graph]] = {}
@@ -64,15 +65,22 @@ class Pipeline:
 
         return add
 
-    def run(self, graph: Graph, listen: Callable[[str, str], None] | None = None) -> Graph:
-        """The graph after all steps; `listen` hears ('before' | 'after', name)."""
+    def run(self, graph: Graph, listen: Callable[[str, str], None] | None = None, keep: bool = False) -> Graph:
+        """The graph after all steps; `listen` hears ('before' | 'after', name).
+
+        With keep, each table that a step changed is written to the shared checkpoint folder, so a later step neither
+        computes it again nor depends on what came before.
+        """
         if self.conditions:
             raise PipelineError("if without endif")
         for name, step in self.steps:
             if listen:
                 listen("before", name)
             try:
-                graph = step(graph)
+                after = step(graph)
+                if keep:
+                    after = after.with_(cut(after.assets) if after.assets is not graph.assets else None, cut(after.relations) if after.relations is not graph.relations else None)
+                graph = after
             except Exception as e:
                 raise PipelineError(f"{name} transform: {e}") from e
             if listen:
