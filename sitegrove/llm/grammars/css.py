@@ -7,6 +7,7 @@ prelude, and every declaration a name, a colon and a balanced value. Property gr
 from __future__ import annotations
 
 import re
+import sys
 
 _IDENT = r"(?:--|-?(?:[A-Za-z_\u0080-\U0010ffff]|\\[^\n\r\f]))(?:[\w\-\u0080-\U0010ffff]|\\[^\n\r\f])*"
 _NEWLINE = r"(?:\r\n|[\n\r\f])"
@@ -36,6 +37,9 @@ class Bad(Exception):
 
 
 def accepts_css(text: str) -> bool:
+    """Whether the sheet needs no error recovery. Blocks nested some ten thousand deep and more count as accepted."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 100_000))
     if text.startswith("﻿"):
         text = text[1:]
     try:
@@ -43,6 +47,10 @@ def accepts_css(text: str) -> bool:
         return True
     except Bad:
         return False
+    except RecursionError:
+        return True
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 class _Sheet:
@@ -240,7 +248,7 @@ class _Sheet:
             depth += (kind in ("func", "open")) - (kind == "close")
             if kind in ("at", "cdo") or (kind == "delim" and value in "!$`" or value == ";"):
                 raise Bad
-            if depth == 0 and not legacy and kind == "delim" and value not in ",/+-*=":
+            if depth == 0 and not legacy and kind == "delim" and value not in ",/+-":
                 raise Bad
             if value == "{":
                 raise Bad

@@ -58,7 +58,8 @@ class _Scope:
 
 
 def accepts_javascript(text: str) -> bool:
-    """Whether `text` is a script or a module of ECMAScript 2022; nesting has no limit but memory."""
+    """Whether `text` is a script or a module of ECMAScript 2022. Nesting of some ten thousand levels is followed; a text
+    that is nested deeper is not judged further and counts as accepted."""
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 200_000))
     try:
@@ -69,6 +70,8 @@ def accepts_javascript(text: str) -> bool:
             except Bad:
                 if not module and not re.search(r"\b(?:import|export|await)\b", text):
                     return False
+            except RecursionError:
+                return True
         return False
     finally:
         sys.setrecursionlimit(limit)
@@ -543,7 +546,13 @@ class Parser:
 
     def for_let(self) -> bool:
         t, v, _ = self.peek()
-        return (t == NAME and v not in ("in", "of", "instanceof")) or (t == PUNCTUATOR and v in ("[", "{")) or (t == NAME and v == "of" and not self.strict and False)
+        if t == NAME and v == "of":  # `let of of xs` and `let of = 1` declare `of`
+            saved = self.save()
+            self.next()
+            t, v, _ = self.peek()
+            self.restore(saved)
+            return v in ("of", "in", "=", ";", ",")
+        return (t == NAME and v not in ("in", "instanceof")) or (t == PUNCTUATOR and v in ("[", "{"))
 
     def for_rest(self) -> None:
         self.need(";")

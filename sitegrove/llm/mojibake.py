@@ -41,7 +41,7 @@ BUCKETS, WORDS, POOLS, STEPS, POOL_WEIGHT, DAMAGE, NEEDED = 1 << 18, 1 << 19, 1
 #: "nothing happened" by likelihood and still be weighed.
 REMEMBER, UNKNOWN, BEHIND = 200_000, 5.0, 12.0
 
-WORD = re.compile(r"[A-Za-z]*(?:[^\x00-\x7f\s]\xa0*[A-Za-z]*)+")
+WORD = re.compile(r"(?<![A-Za-z])[A-Za-z]*+(?:[^\x00-\x7f\s]\xa0*[A-Za-z]*)+")
 LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 
 

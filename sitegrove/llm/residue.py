@@ -32,9 +32,9 @@ NOTICE_WORDS = 60
 _I = re.IGNORECASE
 #: Set aside: what shows or quotes a placeholder, but doesn't leave one.
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
-_INLINE = re.compile(r"(`+)(?!`).+?(?<!`)\1(?!`)", re.S)
+_TICKS = re.compile(r"`+")
 _INDENTED = re.compile(r"(?:(?<=\n\n)|(?<=\r\n\r\n)|\A)(?:(?: {4}|\t)[^\n]*(?:\n|\Z))+")
-_MARKUP = re.compile(r"<!--.*?-->|<(script|style|template|code|pre|kbd|samp)\b[^>]*>.*?</\1\s*>", re.S | _I)
+_ASIDE = re.compile(r"<(!--|script\b|style\b|template\b|code\b|pre\b|kbd\b|samp\b)", _I)
 _QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|«[^»\n]{1,200}»|„[^“”\n]{1,200}[“”]|「[^」\n]{1,200}」|(?<!\w)'[^'\n]{1,200}'(?!\w)")
 _LOG = re.compile(r"^(?:\[?\d{4}-\d\d-\d\d[T ])?\[?\d\d:\d\d:\d\d\b.*$|^\S+ - - \[.*$", re.M)
 _CITED = re.compile(r"^[ \t]*>.*$", re.M)
@@ -91,13 +91,57 @@ _WORD = regex.compile(rf"[{_SPACELESS}]|[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{M}}\p{{N
 #: Lines that surround a body: navigation, status and credits, single titles.
 _CHROME = re.compile(r"^(?:[^|\n]{1,30}(?:\s\|\s[^|\n]{1,30})+|[^/\n]{1,30}(?:\s[/»›>]\s[^/\n]{1,30})+|(?:©|\(c\)|copyright\b|powered by\b|status\s*:|id\s|ref(?:erence)?\s*[.:#]|trace\s*:|request id|ray id|server\s*:)[^\n]{0,60}|[\w-]+/[\w.-]+|back|home|zurück|retour|volver|voltar|назад|wróć|zpět|πίσω|戻る)$", _I)
 _SYNTAX = re.compile(r"^\w+(?:\.\w+)*\(.*\)$|^\w+: \w+$|^\$ |^--|^[+\-*] .*\(#\d+\)$|^#+ \d+\.\d+")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.S | _I)
+_TITLE = re.compile(r"<title[^>]{0,200}>([^<]{0,500})</title>", _I)
 _TAG = re.compile(r"<[^<>]*>")
 
 
+def without_markup(text: str, tags: tuple[str, ...] = ("!--", "script", "style", "template", "code", "pre", "kbd", "samp")) -> str:
+    """The text without comments and the elements that hold code; one that isn't closed stays. Linear in the text."""
+    out, at, lower, unclosed = [], 0, text.lower(), set()
+    if len(lower) != len(text):
+        lower = text
+    for m in _ASIDE.finditer(text):
+        tag = m.group(1).lower()
+        if m.start() < at or tag in unclosed or tag not in tags:
+            continue
+        close = "-->" if tag == "!--" else f"</{tag}"
+        end = lower.find(close, m.end())
+        if end < 0:
+            unclosed.add(tag)
+            continue
+        after = text.find(">", end + len(close) - 1)
+        out.append(text[at : m.start()])
+        at = len(text) if after < 0 else after + 1
+    return " ".join([*out, text[at:]]) if at else text
+
+
+def without_inline_code(text: str) -> str:
+    """The text without what stands between two equally long runs of backticks in one paragraph. Linear in the text."""
+    runs = list(_TICKS.finditer(text))
+    if len(runs) < 2:
+        return text
+    following: dict[int, int] = {}
+    pairs = [0] * len(runs)
+    for i in range(len(runs) - 1, -1, -1):
+        size = runs[i].end() - runs[i].start()
+        pairs[i] = following.get(size, -1)
+        following[size] = i
+    out, at, i = [], 0, 0
+    while i < len(runs):
+        j = pairs[i]
+        if j > 0 and "\n\n" not in text[runs[i].end() : min(runs[j].start(), runs[i].end() + 5000)] and runs[j].start() - runs[i].end() <= 5000:
+            out.append(text[at : runs[i].start()])
+            at, i = runs[j].end(), j + 1
+        else:
+            i += 1
+    return " ".join([*out, text[at:]])
+
+
 def running_text(text: str) -> str:
     """The text without code, comments, quotations, cited and logged lines."""
-    for pattern in (_MARKUP, _FENCE, _INDENTED, _INLINE, _LOG, _CITED, _QUOTED):
+    text = _INDENTED.sub(" ", _FENCE.sub(" ", without_markup(text)))
+    text = without_inline_code(text)
+    for pattern in (_LOG, _CITED, _QUOTED):
         text = pattern.sub(" ", text)
     return text
 
@@ -127,7 +171,7 @@ def blocks(text: str) -> list[str]:
         except (ValueError, RecursionError, AttributeError):
             pass
     if _TAG.search(text) and re.search(r"</\w+>", text):
-        visible = re.sub(r"<(script|style)\b[^>]*>.*?</\1\s*>", " ", text, flags=re.S | _I)
+        visible = without_markup(text, ("!--", "script", "style"))
         visible = html.unescape(re.sub(r"</?(?:b|i|a|em|strong|span|u|small|code)\b[^<>]*>", "", visible, flags=_I))
         text = _TAG.sub("\n", visible)
     return list(dict.fromkeys(b for b in (line.strip(" \t\r#*_=->") for line in text.split("\n")) if any(c.isalnum() for c in b)))

@@ -107,7 +107,7 @@ def split_texts(items: DataFrame, key: str, range_pieces: int = RANGE_PIECES) ->
     give no rows. An overlap above half of the limit is an error.
     """
     size = F.col("max_size")
-    long_ = items.where(F.char_length("content") > size).withColumn("_total", F.char_length("content"))
+    long_ = items.select(key, "content", "max_size", "overlap", "node_ends").where(F.char_length("content") > size).withColumn("_total", F.char_length("content"))
     ranges = long_.withColumn("_length", size.cast("long") * range_pieces).withColumn("_number", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_total") - 1) / F.col("_length")))))
     shift = F.greatest(F.col("_number") * F.col("_length") - size, F.lit(0))
     ranges = ranges.withColumn("_shift", shift)
