@@ -137,10 +137,12 @@ def externalize_relations(graph: Graph, wanted: Query = None) -> Graph:
 
 @transform
 def inline_relations(graph: Graph, wanted: Query = None) -> Graph:
-    """Makes the targets inline: the only relation's target loses its url, others get a copy of their own."""
+    """Makes the targets inline: each relation gets a copy of its own; the last one, if none is left, the asset itself."""
     chosen = graph.find_relations(wanted).where(F.col("to_id").isNotNull())
     uses = graph.relations.where(F.col("to_id").isNotNull()).groupBy("to_id").agg(F.count(F.lit(1)).alias("_uses"))
-    plan = cut(chosen.join(uses, "to_id").select(F.col("id").alias("rel"), "to_id", F.when(F.col("_uses") > 1, _new_id("inline", F.col("id"))).otherwise(F.col("to_id")).alias("_new")))
+    counted = chosen.join(uses, "to_id").withColumn("_chosen", F.count(F.lit(1)).over(Window.partitionBy("to_id"))).withColumn("_k", F.row_number().over(Window.partitionBy("to_id").orderBy("from_id", "ord", "id")))
+    itself = (F.col("_chosen") == F.col("_uses")) & (F.col("_k") == F.col("_chosen"))
+    plan = cut(counted.select(F.col("id").alias("rel"), "to_id", F.when(itself, F.col("to_id")).otherwise(_new_id("inline", F.col("id"))).alias("_new")))
     copies = graph.assets.join(plan.where("_new != to_id").select(F.col("to_id").alias("id"), "_new"), "id").withColumn("id", F.col("_new")).drop("_new").withColumn("url", F.lit(None).cast("string"))
     bare = plan.where("_new = to_id").select(F.col("to_id").alias("id")).distinct().withColumn("_bare", F.lit(True))
     assets = graph.assets.join(bare, "id", "left").withColumn("url", F.when(F.col("_bare"), F.lit(None)).otherwise(F.col("url"))).drop("_bare")
@@ -184,7 +186,8 @@ def clone_assets(graph: Graph, wanted: Query = None) -> Graph:
     """Copies of the matching assets with their relations, at `name-1` beside the original."""
     chosen = cut(graph.find_assets(wanted).select("id").withColumn("_new", _new_id("clone", F.col("id"))))
     copies = graph.assets.join(chosen, "id").withColumn("id", F.col("_new")).drop("_new")
-    copies = copies.withColumn("url", F.regexp_replace("url", r"((?:\.[^./?#]*)?(?:[?#].*)?)$", "-1$1"))
+    end = r"((?:\.[^./?#]*)?(?:[?#].*)?)$"
+    copies = copies.withColumn("url", F.concat(F.regexp_replace("url", end, ""), F.lit("-1"), F.regexp_extract("url", end, 1)))
     edges = graph.relations.join(chosen.select(F.col("id").alias("from_id"), "_new"), "from_id").withColumn("from_id", F.col("_new")).withColumn("id", _new_id(F.col("id"), "clone")).drop("_new")
     return graph.with_(assets=graph.assets.unionByName(copies.select(*graph.assets.columns)), relations=_add(graph, edges))
 
