@@ -42,6 +42,9 @@ BUCKETS, WORDS, POOLS, STEPS, POOL_WEIGHT, DAMAGE, NEEDED = 1 << 18, 1 << 19, 1
 REMEMBER, UNKNOWN, BEHIND = 200_000, 5.0, 12.0
 
 WORD = re.compile(r"(?<![A-Za-z])[A-Za-z]*+(?:[^\x00-\x7f\s]\xa0*[A-Za-z]*)+")
+#: Marks that typography adds to words in any language; their price in nats.
+_MARKS = re.compile("[\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026\u2022\u00ab\u00bb\u20ac\u00a9\u00ae\u2122\u00b0\u00a7\u00b7\u2192\ufeff]")
+MARK = -4.6
 LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
@@ -143,7 +146,14 @@ class Model:
         self.score_of: dict[str, list[tuple[int, str, float]]] = {}
 
     def likelihood(self, word: str) -> float:
-        """Log likelihood: as a known word if it is one, else by its pairs of characters."""
+        """Log likelihood: of what stands between typographic marks, with a fixed price for each mark."""
+        if _MARKS.search(word):
+            parts = _MARKS.split(word)
+            return (len(parts) - 1) * MARK + sum(self._likelihood(p) for p in parts if p)
+        return self._likelihood(word)
+
+    def _likelihood(self, word: str) -> float:
+        """As a known word if it is one, else by its pairs of characters."""
         out, pairs, a = 0.0, self.pairs, 2
         for b in (*map(ord, word), 3):
             x = pairs.get((a, b))

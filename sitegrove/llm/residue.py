@@ -26,8 +26,8 @@ from sitegrove.session import cut
 
 #: A body repeated in so many documents of so many hosts is a low-information response.
 REPEATED_DOCS, REPEATED_HOSTS = 5, 3
-#: Longest body, in words, that may be judged by wording alone.
-NOTICE_WORDS = 60
+#: Longest block and sentence, in words, that may be a notice by its wording alone.
+NOTICE_WORDS, SENTENCE_WORDS = 60, 18
 
 _I = re.IGNORECASE
 #: Set aside: what shows or quotes a placeholder, but doesn't leave one.
@@ -78,7 +78,7 @@ SCRIPT_VERBS = re.compile(
     _I,
 )
 FILLER_WORDING = re.compile(
-    r"lorem ipsum|dummy text|sample (?:text|paragraph|content)|placeholder (?:text|content)|filler text|some text goes here|text goes here|goes here\b|replace (?:this|before|with)|coming soon|content to follow|under construction|einfügen\b|hier (?:folgt|steht|kommt)|folgt später|texto de (?:relleno|ejemplo|exemplo|preenchimento|amostra|teste)|texte (?:d['’]exemple|de remplissage|factice|provisoire)|faux texte|blindtext|beispieltext|platzhalter|fülltext|muster ?text|текст[- ](?:заполнитель|заглушка|рыба)|пример текста|образец текста|рыба-текст|tekst (?:przykładowy|zastępczy|wypełni)|przykładowy tekst|ukázkový text|výplňový text|zástupný text|vzorový text|κείμενο (?:κράτησης|υποκατάστα|δείγμα|πλήρωσης)|δείγμα κειμένου|ダミー|サンプル(?:テキスト|文)|仮のテキスト|仮テキスト|ここに(?:テキスト|本文|文章)|準備中|近日公開|próximamente|em breve|bientôt|demnächst|скоро (?:здесь|появ)|wkrótce|již brzy|σύντομα|asdf|qwert|test test|foo bar baz",
+    r"^\W*lorem ipsum|dummy text|sample (?:text|paragraph|content)|placeholder (?:text|content)|filler text|some text goes here|text goes here|goes here\b|replace this (?:text|paragraph|sentence|content)|replace before|coming soon|content to follow|under construction|(?:überschrift|titel|text|inhalt) einfügen|folgt (?:später|in kürze)|hier (?:steht|kommt) (?:ein |der |noch |später )?(?:text|inhalt)|texto de (?:relleno|ejemplo|exemplo|preenchimento|amostra|teste)|texte (?:d['’]exemple|de remplissage|factice|provisoire)|faux texte|blindtext|beispieltext|platzhalter|fülltext|muster ?text|текст[- ](?:заполнитель|заглушка|рыба)|пример текста|образец текста|рыба-текст|tekst (?:przykładowy|zastępczy|wypełni)|przykładowy tekst|ukázkový text|výplňový text|zástupný text|vzorový text|κείμενο (?:κράτησης|υποκατάστα|δείγμα|πλήρωσης)|δείγμα κειμένου|ダミー|サンプル(?:テキスト|文)|仮のテキスト|仮テキスト|ここに(?:テキスト|本文|文章)|準備中|近日公開|próximamente|em breve|bientôt|demnächst|скоро (?:здесь|появ)|wkrótce|již brzy|σύντομα|asdf|qwert|test test|foo bar baz",
     _I,
 )
 #: The vocabulary of the usual filler generators, without words that other languages share.
@@ -91,6 +91,7 @@ _WORD = regex.compile(rf"[{_SPACELESS}]|[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{M}}\p{{N
 #: Lines that surround a body: navigation, status and credits, single titles.
 _CHROME = re.compile(r"^(?:[^|\n]{1,30}(?:\s\|\s[^|\n]{1,30})+|[^/\n]{1,30}(?:\s[/»›>]\s[^/\n]{1,30})+|(?:©|\(c\)|copyright\b|powered by\b|status\s*:|id\s|ref(?:erence)?\s*[.:#]|trace\s*:|request id|ray id|server\s*:)[^\n]{0,60}|[\w-]+/[\w.-]+|back|home|zurück|retour|volver|voltar|назад|wróć|zpět|πίσω|戻る)$", _I)
 _SYNTAX = re.compile(r"^\w+(?:\.\w+)*\(.*\)$|^\w+: \w+$|^\$ |^--|^[+\-*] .*\(#\d+\)$|^#+ \d+\.\d+")
+_SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n|(?<=。)")
 _TITLE = re.compile(r"<title[^>]{0,200}>([^<]{0,500})</title>", _I)
 _TAG = re.compile(r"<[^<>]*>")
 
@@ -195,11 +196,13 @@ def kind_of(block: str) -> str:
     if _SYNTAX.search(block):
         return "syntax"
     found = terms(block)
-    if FILLER_WORDING.search(block) or (len(found) >= 6 and len(set(found)) <= len(found) // 3 and not set(found) & {"0", "1"}):
+    said = _QUOTED.sub(" ", without_inline_code(block))
+    brief = len(found) <= NOTICE_WORDS and all(len(terms(x)) <= SENTENCE_WORDS or any("\u3040" <= c <= "\u9fff" for c in x) for x in _SENTENCE.split(said))
+    if (brief and FILLER_WORDING.search(said)) or (len(found) >= 6 and len(set(found)) <= len(found) // 3 and not set(found) & {"0", "1"}):
         return "filler"
     if len(found) >= 4 and sum(w in LATIN_FILLER for w in found) >= 0.25 * len(found):
         return "filler"
-    if len(found) <= NOTICE_WORDS and (ERROR_WORDING.search(block) or (SCRIPT_WORDING.search(block) and SCRIPT_VERBS.search(block))):
+    if brief and (ERROR_WORDING.search(said) or (SCRIPT_WORDING.search(said) and SCRIPT_VERBS.search(said))):
         return "notice"
     if len(found) <= 3 and not re.search(r"[.!?。:]$", block):
         return "chrome"

@@ -62,9 +62,13 @@ def _joins(char: str) -> bool:
     return 0x300 <= code <= 0x36F or code in (0x200C, 0x200D) or 0xFE00 <= code <= 0xFE0F
 
 
-def range_start(cutter: Cutter, at: int, size: int, overlap: int) -> tuple[int, str]:
-    """Where the range that nominally begins at the local offset `at` begins: found in the characters before it only."""
-    return cutter.best(max(at - (size - overlap), 0), at)
+def range_start(text: str, at: int, size: int, overlap: int, nodes: np.ndarray | None = None) -> tuple[int, str]:
+    """Where the range that nominally begins at the local offset `at` begins, found in the `size` characters before it and
+    nothing else, so that both neighbours find the same place."""
+    low = max(at - size, 0)
+    near = None if nodes is None else nodes[(nodes > low) & (nodes < at)] - low
+    place, kind = Cutter(text[low:at], near).best(max(at - low - (size - overlap), 0), at - low)
+    return low + place, kind
 
 
 def cut_range(cutter: Cutter, begin: int, end: int, end_kind: str, first: bool, size: int, overlap: int) -> list[tuple[int, int, str]]:
@@ -73,7 +77,8 @@ def cut_range(cutter: Cutter, begin: int, end: int, end_kind: str, first: bool,
     while at < end:
         back = 0 if first and at == begin else overlap
         room = size - back
-        cut, kind = (end, end_kind) if end - at <= room else cutter.best(at, at + room)
+        low = at if back or not first else at + overlap  # or else the next piece would begin before the item
+        cut, kind = (end, end_kind) if end - at <= room else cutter.best(low, at + room)
         out.append((at - back, cut, kind))
         at = cut
     return out
@@ -89,10 +94,11 @@ def _range_pieces(text: pd.Series, shift: pd.Series, number: pd.Series, length:
     out = []
     for t, o, k, n, whole, s, v, tree in zip(text, shift, number, length, total, size, overlap, nodes):
         _checked(int(s), int(v))
-        cutter = Cutter(t, None if tree is None else np.asarray(tree, dtype=np.int64) - o)
+        ends = None if tree is None else np.asarray(tree, dtype=np.int64) - o
+        cutter = Cutter(t, ends)
         begin, stop = k * n - o, min((k + 1) * n, whole) - o
-        b = 0 if k == 0 else range_start(cutter, begin, s, v)[0]
-        e, kind = (stop, "end") if (k + 1) * n >= whole else range_start(cutter, stop, s, v)
+        b = 0 if k == 0 else range_start(t, begin, s, v, ends)[0]
+        e, kind = (stop, "end") if (k + 1) * n >= whole else range_start(t, stop, s, v, ends)
         out.append([(a + o, z + o, c, t[a:z]) for a, z, c in cut_range(cutter, b, e, kind, k == 0, s, v)])
     return pd.Series(out, dtype=object)
 
@@ -193,12 +199,12 @@ def _file_range(f, total: int, k: int, length: int, size: int, overlap: int) ->
     left = read(snapped(begin - halo), begin)[-size:] if k else ""
     body = read(begin, end)
     # The boundary of a range is sought in the `size` characters before it, by the range and by its neighbour alike.
-    b = range_start(Cutter(left), len(left), size, overlap)[0] - len(left) if k else 0
+    b = range_start(left, len(left), size, overlap)[0] - len(left) if k else 0
     if end >= total:
         e, kind = len(body), "end"
     else:
         tail = read(snapped(end - halo), end)[-size:]
-        e, kind = range_start(Cutter(tail), len(tail), size, overlap)
+        e, kind = range_start(tail, len(tail), size, overlap)
         e += len(body) - len(tail)
     cutter, o = Cutter(left + body), len(left)
     pieces = cut_range(cutter, b + o, e + o, kind, k == 0, size, overlap)

@@ -39,8 +39,8 @@ def ranking(text: str) -> list[str]:
 def judge(type_: str, text: str) -> tuple[str, str]:
     """('valid' | 'wrong extension' | 'corrupt', language): the language that parses, else the likeliest."""
     own, order = GRAMMARS[type_], ranking(text)
-    if not text.strip("﻿ \t\r\n") and own in ("JavaScript", "Css"):
-        return "valid", own
+    if not text.strip("﻿ \t\r\n"):
+        return "valid" if own in ("JavaScript", "Css") else "corrupt", own
     parsed = [name for name in order if accepts[name](text)]
     if own in parsed:
         return "valid", own
