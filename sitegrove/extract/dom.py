@@ -19,10 +19,10 @@ _HEAD_ONLY = frozenset("base link meta noscript script style template title".spl
 class Node:
     """An element, a comment (tag '#comment') or a processing instruction (tag '?name')."""
 
-    __slots__ = ("tag", "attrs", "parent", "children", "text", "start", "end", "in_head")
+    __slots__ = ("tag", "attrs", "parent", "children", "text", "start", "open_end", "end", "in_head")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, text: str = "", start: int = 0):
-        self.tag, self.attrs, self.parent, self.text, self.start, self.end = tag, attrs, parent, text, start, start
+        self.tag, self.attrs, self.parent, self.text, self.start, self.open_end, self.end = tag, attrs, parent, text, start, start, start
         self.children: list[Node] = []
         self.in_head = False
 
@@ -81,7 +81,7 @@ class _Html(HTMLParser):
             self.seen_body = True
         new.in_head = not self.seen_body
         self.top.children.append(new)
-        new.end = new.start + len(self.get_starttag_text() or "")
+        new.open_end = new.end = new.start + len(self.get_starttag_text() or "")
         if tag not in VOID and not closed:
             self.top = new
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sitegrove.extract.operator import extract, resolved, with_inline
 from sitegrove.functions.text import sniffed_charset, srcset_entries
+from sitegrove.graph import Graph
+from sitegrove.operators import styles as S
 from sitegrove.operators import transforms as T
 from sitegrove.operators.traverse import inline_owner, populate
 from sitegrove.plans.pipeline import Pipeline
@@ -93,6 +95,29 @@ def cache_manifest_entries(spark: SparkSession, sf: str) -> DataFrame:
     return graph.relations.where(F.col("type") == "CacheManifestEntry").select("from_id", "to_id")
 
 
+def _fixture(spark: SparkSession) -> Graph:
+    assets = assets_from_rows(spark, [{"id": "p", "type": "Html", "url": "http://h/p", "text": "<html><head></head><body><p class=x>a</p><link rel=stylesheet href=s><i>b</i></body></html>"}, {"id": "s", "type": "Css", "url": "http://h/s", "text": "p{color:red}.x{margin:0}i{top:0}"}])
+    return Graph(assets, spark.createDataFrame([("r", "HtmlStyle", "p", "s", 0, "s", None, None, True, None)], "id string, type string, from_id string, to_id string, ord int, href string, target_type string, media string, in_head boolean, node_attrs map<string,string>"))
+
+
+def critical_css_fixture(spark: SparkSession, sf: str) -> DataFrame:
+    return S.inline_critical_css(_fixture(spark)).assets.select("id", "text")
+
+
+def inline_styles_fixture(spark: SparkSession, sf: str) -> DataFrame:
+    return S.convert_stylesheets_to_inline_styles(_fixture(spark)).assets.select("id", "text")
+
+
+def minified(spark: SparkSession, sf: str) -> DataFrame:
+    graph = text_graph(spark, sf)
+    return T.minify_assets(graph, {"type": {"$in": ["Json", "Css", "Svg"]}}).assets.where(F.col("type").isin("Json", "Css", "Svg") & F.col("text").isNotNull()).select("id", F.length("text").alias("chars"))
+
+
+def stripped(spark: SparkSession, sf: str) -> DataFrame:
+    graph = text_graph(spark, sf)
+    return T.strip_debug(graph).assets.where((F.col("type") == "JavaScript") & F.col("text").isNotNull()).select("id", F.md5("text").alias("digest"))
+
+
 def gzipped(spark: SparkSession, sf: str) -> DataFrame:
     graph = text_graph(spark, sf)
     return T.gzip(graph).assets.where(F.col("url").endswith(".gz")).select("id", "url", F.length("raw_src").alias("bytes"))
@@ -118,11 +143,13 @@ def srcset_fixture(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        extracted_relations, extracted_hrefs, css_urls, resolved_targets, crawl, inline_owners, charsets, pipeline, bundles, css_imports_to_styles, cache_manifest_entries, gzipped, selector_counts, graph_drawing, odd_protocols, srcset_fixture,
+        extracted_relations, extracted_hrefs, css_urls, resolved_targets, crawl, inline_owners, charsets, pipeline, bundles, css_imports_to_styles, cache_manifest_entries, critical_css_fixture, inline_styles_fixture, minified, stripped, gzipped, selector_counts, graph_drawing, odd_protocols, srcset_fixture,
     )
 }
 
 SQL = {
+    "critical_css_fixture": "SELECT * FROM (VALUES ('p', '<html><head><style>p{color:red}.x{margin:0}</style></head><body><p class=x>a</p><link rel=stylesheet href=s><i>b</i></body></html>'), ('s', 'p{color:red}.x{margin:0}i{top:0}')) AS t (id, text)",
+    "inline_styles_fixture": "SELECT * FROM (VALUES ('p', '<html><head></head><body><p class=x style=\"color: red; margin: 0\">a</p><link rel=stylesheet href=s><i style=\"top: 0\">b</i></body></html>'), ('s', 'p{color:red}.x{margin:0}i{top:0}')) AS t (id, text)",
     "extracted_hrefs": f"""{HOLD}, p AS (SELECT id, text FROM a WHERE type = 'Html' AND regexp_matches(text, '(?i)</html>\\s*$') AND NOT regexp_matches(text, '<!--|<svg|<noscript|<template|[<>=]{{7}}')),
 e AS (SELECT id, 'HtmlAnchor' AS type, unnest(regexp_extract_all(text, '(?i)<a\\s[^>]*?href=["'']([^"'']*)["'']', 1)) AS href FROM p
 UNION ALL SELECT id, 'HtmlImage', unnest(regexp_extract_all(text, '(?i)<img\\s[^>]*?src=["'']([^"'']*)["'']', 1)) FROM p
