@@ -294,3 +294,29 @@ def data_url(content_type: Column, raw: Column) -> Column:
     plain = F.concat(F.lit("data:"), F.coalesce(content_type, F.lit("")), F.lit(","), escaped)
     coded = F.concat(F.lit("data:"), F.coalesce(content_type, F.lit("")), F.lit(";base64,"), F.base64(raw))
     return F.when(F.octet_length(plain) <= F.octet_length(coded), plain).otherwise(coded)
+
+
+def resolve_in_root(href: str, base: str | None, root: str, canonical_root: str | None = None) -> str | None:
+    """`href` in a graph: root-relative hrefs from files resolve against the graph's root, without the path of the
+    canonical root; urls below the canonical root are urls below the root."""
+    href = href.strip(" \t\n\r\f\v")
+    path = split_url(canonical_root)[2] if canonical_root else "/"
+    if base is not None and base.lower().startswith("file:") and href.startswith("/") and not href.startswith("//"):
+        full = root + (href[len(path) :] if href.startswith(path) else href[1:])
+    else:
+        full = resolve(href, base)
+    if full is not None and canonical_root:
+        for known in (canonical_root, "http:" + canonical_root, "https:" + canonical_root) if canonical_root.startswith("//") else (canonical_root,):
+            if full.startswith(known):
+                return root + full[len(known) :]
+    return full
+
+
+def is_canonical(href: Column, canonical_root: str) -> Column:
+    """Whether an href is written with the canonical root."""
+    return F.coalesce(F.trim(href).startswith(canonical_root), F.lit(False))
+
+
+def canonical_href(url: Column, root: str, canonical_root: str) -> Column:
+    """A url below the root as one below the canonical root; others as they are."""
+    return F.when(url.startswith(root), F.concat(F.lit(canonical_root), F.substr(url, F.lit(len(root) + 1)))).otherwise(url)

@@ -10,6 +10,7 @@ from sitegrove.functions.text import sniffed_charset, srcset_entries
 from sitegrove.graph import Graph
 from sitegrove.operators import styles as S
 from sitegrove.operators import transforms as T
+from sitegrove.operators.facts import asset_facts
 from sitegrove.operators.traverse import inline_owner, populate
 from sitegrove.plans.pipeline import Pipeline
 from sitegrove.plans.tables_graph import HOLD, narrow_graph, text_graph
@@ -108,6 +109,11 @@ def inline_styles_fixture(spark: SparkSession, sf: str) -> DataFrame:
     return S.convert_stylesheets_to_inline_styles(_fixture(spark)).assets.select("id", "text")
 
 
+def facts(spark: SparkSession, sf: str) -> DataFrame:
+    assets = _texts(spark, sf, "Html", "JavaScript", "Css", "Json")
+    return asset_facts(assets).select("id", "is_inline", "is_image", "is_font", "is_text", "is_fragment", "is_strict", "is_pretty", "hostname")
+
+
 def minified(spark: SparkSession, sf: str) -> DataFrame:
     graph = text_graph(spark, sf)
     return T.minify_assets(graph, {"type": {"$in": ["Json", "Css", "Svg"]}}).assets.where(F.col("type").isin("Json", "Css", "Svg") & F.col("text").isNotNull()).select("id", F.length("text").alias("chars"))
@@ -143,11 +149,15 @@ def srcset_fixture(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        extracted_relations, extracted_hrefs, css_urls, resolved_targets, crawl, inline_owners, charsets, pipeline, bundles, css_imports_to_styles, cache_manifest_entries, critical_css_fixture, inline_styles_fixture, minified, stripped, gzipped, selector_counts, graph_drawing, odd_protocols, srcset_fixture,
+        extracted_relations, extracted_hrefs, css_urls, resolved_targets, crawl, inline_owners, charsets, pipeline, bundles, css_imports_to_styles, cache_manifest_entries, critical_css_fixture, inline_styles_fixture, facts, minified, stripped, gzipped, selector_counts, graph_drawing, odd_protocols, srcset_fixture,
     )
 }
 
 SQL = {
+    "facts": f"""{HOLD} SELECT id, url IS NULL AS is_inline, coalesce(type IN ('Png', 'Gif', 'Jpeg', 'Svg'), false) AS is_image, coalesce(type = 'Woff2', false) AS is_font, coalesce(type IN ('Html', 'JavaScript', 'Css', 'Json', 'Svg', 'Atom', 'Text'), false) AS is_text,
+CASE WHEN type = 'Html' THEN NOT regexp_matches(text, '(?i)<(?:!doctype|html|head|body)[\\s>]') END AS is_fragment,
+CASE WHEN type = 'JavaScript' THEN regexp_matches(regexp_replace(text, '(?s:/\\*.*?\\*/)|//[^\\n]*', '', 'g'), '^\\s*["'']use strict["'']') END AS is_strict,
+CASE WHEN type = 'Json' THEN regexp_matches(text, '^\\s*[\\[{{]\\s*\\n\\s') END AS is_pretty, nullif(regexp_extract(nullif(regexp_extract(url, '(?i)^(?:[a-z][a-z0-9+.\\-]*:)?//([^/?#]*)', 1), ''), '^(?:.*@)?([^:]*)', 1), '') AS hostname FROM a""",
     "critical_css_fixture": "SELECT * FROM (VALUES ('p', '<html><head><style>p{color:red}.x{margin:0}</style></head><body><p class=x>a</p><link rel=stylesheet href=s><i>b</i></body></html>'), ('s', 'p{color:red}.x{margin:0}i{top:0}')) AS t (id, text)",
     "inline_styles_fixture": "SELECT * FROM (VALUES ('p', '<html><head></head><body><p class=x style=\"color: red; margin: 0\">a</p><link rel=stylesheet href=s><i style=\"top: 0\">b</i></body></html>'), ('s', 'p{color:red}.x{margin:0}i{top:0}')) AS t (id, text)",
     "extracted_hrefs": f"""{HOLD}, p AS (SELECT id, text FROM a WHERE type = 'Html' AND regexp_matches(text, '(?i)</html>\\s*$') AND NOT regexp_matches(text, '<!--|<svg|<noscript|<template|[<>=]{{7}}')),

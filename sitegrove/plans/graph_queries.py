@@ -188,7 +188,7 @@ SELECT id, min(depth) AS depth FROM reach GROUP BY id""",
     "minimum_referrer_distance": f"{HOLD}, v AS (SELECT id, site_id AS value FROM a WHERE is_initial UNION SELECT r.to_id, v.value FROM v JOIN r ON r.from_id = v.id WHERE r.to_id IS NOT NULL) SELECT id, min(value) AS value FROM v GROUP BY id",
     "inferred_types": f"""{HOLD}, t AS (SELECT CASE regexp_extract(lower(content_type), '^([^;]*)', 1) WHEN 'text/html' THEN 'Html' WHEN 'application/javascript' THEN 'JavaScript' WHEN 'text/javascript' THEN 'JavaScript' WHEN 'text/css' THEN 'Css' WHEN 'application/json' THEN 'Json' WHEN 'image/svg+xml' THEN 'Svg'
  WHEN 'application/atom+xml' THEN 'Atom' WHEN 'image/png' THEN 'Png' WHEN 'image/jpeg' THEN 'Jpeg' WHEN 'image/gif' THEN 'Gif' WHEN 'font/woff2' THEN 'Woff2' WHEN 'text/xml' THEN 'Xml' WHEN 'application/octet-stream' THEN 'Asset' WHEN 'text/plain' THEN 'Text' END AS own,
- CASE WHEN lower(extension) IN ('.html', '.template', '.xhtml', '.shtml', '.ko', '.ejs') THEN 'Html' WHEN lower(extension) = '.css' THEN 'Css' WHEN lower(extension) = '.js' THEN 'JavaScript' WHEN lower(extension) IN ('.json', '.topojson') THEN 'Json' WHEN lower(extension) = '.svg' THEN 'Svg' WHEN lower(extension) = '.atom' THEN 'Atom'
+ CASE WHEN lower(extension) IN ('.html', '.template', '.xhtml', '.shtml', '.ko', '.ejs') THEN 'Html' WHEN lower(extension) = '.css' THEN 'Css' WHEN lower(extension) = '.js' THEN 'JavaScript' WHEN lower(extension) IN ('.json', '.topojson') THEN 'Json' WHEN lower(extension) = '.svg' THEN 'Svg' WHEN lower(extension) = '.atom' THEN 'Atom' WHEN lower(extension) = '.xml' THEN 'Xml' WHEN lower(extension) IN ('.rss', '.rdf') THEN 'Rss'
  WHEN lower(extension) = '.png' THEN 'Png' WHEN lower(extension) IN ('.jpg', '.jpeg') THEN 'Jpeg' WHEN lower(extension) = '.gif' THEN 'Gif' WHEN lower(extension) = '.woff2' THEN 'Woff2' WHEN lower(extension) IN ('.txt', '.md', '.csv', '.rst', '.tsv', '.htaccess', '.ics', '.xtemplate') THEN 'Text' WHEN lower(extension) = '.webmanifest' THEN 'ApplicationManifest' WHEN lower(extension) = '.map' THEN 'SourceMap' END AS ext FROM a)
 SELECT CASE WHEN own IS NULL THEN ext WHEN own = 'Asset' THEN coalesce(ext, own) WHEN own = 'Json' AND ext IN ('ApplicationManifest', 'SourceMap') THEN ext ELSE own END AS kind, count(*) AS n FROM t GROUP BY 1""",
     "diagnostics_by_month": "SELECT lower(severity) AS level, code, strftime(raised_at, '%Y-%m') AS month, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM diagnostics) WHERE rn = 1 GROUP BY 1, 2, 3",
