@@ -91,6 +91,7 @@ _WORD = regex.compile(rf"[{_SPACELESS}]|[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{M}}\p{{N
 #: Lines that surround a body: navigation, status and credits, single titles.
 _CHROME = re.compile(r"^(?:[^|\n]{1,30}(?:\s\|\s[^|\n]{1,30})+|[^/\n]{1,30}(?:\s[/»›>]\s[^/\n]{1,30})+|(?:©|\(c\)|copyright\b|powered by\b|status\s*:|id\s|ref(?:erence)?\s*[.:#]|trace\s*:|request id|ray id|server\s*:)[^\n]{0,60}|[\w-]+/[\w.-]+|back|home|zurück|retour|volver|voltar|назад|wróć|zpět|πίσω|戻る)$", _I)
 _SYNTAX = re.compile(r"^\w+(?:\.\w+)*\(.*\)$|^\w+: \w+$|^\$ |^--|^[+\-*] .*\(#\d+\)$|^#+ \d+\.\d+")
+_LOREM = re.compile(r"^\W*lorem ipsum", _I | re.M)
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n|(?<=。)")
 _TITLE = re.compile(r"<title[^>]{0,200}>([^<]{0,500})</title>", _I)
 _TAG = re.compile(r"<[^<>]*>")
@@ -189,8 +190,11 @@ def skeleton(block: str) -> str:
     return " ".join(terms(out))
 
 
-def kind_of(block: str) -> str:
-    """'notice', 'filler', 'chrome', or own content: 'syntax' (calls, options, release notes) or ''."""
+def kind_of(block: str, latin: float = 0.25) -> str:
+    """'notice', 'filler', 'chrome', or own content: 'syntax' (calls, options, release notes) or ''.
+
+    `latin` is the share of filler vocabulary from which a block is filler.
+    """
     if _CHROME.match(block):
         return "chrome"
     if _SYNTAX.search(block):
@@ -200,7 +204,7 @@ def kind_of(block: str) -> str:
     brief = len(found) <= NOTICE_WORDS and all(len(terms(x)) <= SENTENCE_WORDS or any("\u3040" <= c <= "\u9fff" for c in x) for x in _SENTENCE.split(said))
     if (brief and FILLER_WORDING.search(said)) or (len(found) >= 6 and len(set(found)) <= len(found) // 3 and not set(found) & {"0", "1"}):
         return "filler"
-    if len(found) >= 4 and sum(w in LATIN_FILLER for w in found) >= 0.25 * len(found):
+    if len(found) >= 4 and sum(w in LATIN_FILLER for w in found) >= latin * len(found):
         return "filler"
     if brief and (ERROR_WORDING.search(said) or (SCRIPT_WORDING.search(said) and SCRIPT_VERBS.search(said))):
         return "notice"
@@ -221,8 +225,9 @@ def features(doc_id: int, text: str, source: str | None, path: str | None) -> tu
     own = int(len(kept.strip()) < len(unquoted.strip()) or bool(_LOG.search(unquoted)))
     junk, syntax, body = 0, False, []
     parts = blocks(kept)
+    latin = 0.1 if _LOREM.search(kept) else 0.25  # beside a known filler less is enough
     for b in parts:
-        kind = kind_of(b)
+        kind = kind_of(b, latin)
         junk += kind in ("notice", "filler")
         own += kind in ("", "syntax")
         syntax |= kind == "syntax"
