@@ -22,7 +22,12 @@ def string_value(literal: str) -> str:
 
 
 def tokens(text: str) -> list[tuple[str, str]]:
-    """(kind, value) without white space; regular expressions are told from division by the token before."""
+    """(kind, value) without white space."""
+    return [t for t in all_tokens(text) if t[0] != "space"]
+
+
+def all_tokens(text: str) -> list[tuple[str, str]]:
+    """(kind, value) of the whole text; regular expressions are told from division by the token before."""
     out: list[tuple[str, str]] = []
     at = 0
     last: tuple[str, str] = ("mark", ";")
@@ -34,13 +39,31 @@ def tokens(text: str) -> list[tuple[str, str]]:
             r = None if operand else _REGEX.match(text, at)
             kind, value = ("regex", r.group()) if r else ("mark", "/")
         at += len(value)
-        if kind != "space":
-            out.append((kind, value))
-            if kind != "comment":
-                last = (kind, value)
+        out.append((kind, value))
+        if kind not in ("space", "comment"):
+            last = (kind, value)
     return out
 
 
+def compressed(text: str) -> str:
+    """The script without comments and with the least white space that keeps its lines and words apart."""
+    out: list[str] = []
+    gap = ""
+    for kind, value in all_tokens(text):
+        if kind in ("space", "comment") and not value.startswith("/*!"):
+            gap = "\n" if "\n" in value or "\r" in value or gap == "\n" else " "
+            continue
+        before = out[-1][-1] if out else ""
+        if gap and out:
+            words = (before.isalnum() or before in "_$") and (value[0].isalnum() or value[0] in "_$")
+            signs = (before in "+-/" and value[0] in "+-/") or (before == "<" and value[0] == "!")
+            if words or signs or (gap == "\n" and before not in "{;,([" and value[0] not in "};,)]"):
+                out.append(gap)
+        out.append(value)
+        gap = ""
+    return "".join(out)
+
+
 def is_url(specifier: str) -> bool:
     """Whether a module specifier is a url and not a bare name."""
     return re.match(r"^(?:\.{0,2}/|[a-z][a-z0-9+.\-]*:)", specifier, re.I) is not None

@@ -45,6 +45,15 @@ def xml_declaration(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"^﻿?\s*(<\?xml\s[^>]*\?>)", 1), F.lit(""))
 
 
+def with_svg_namespaces(text: Column) -> Column:
+    """Inline svg with the namespace declarations that it needs as a document of its own."""
+    tag = F.regexp_extract(text, r"(?is)(<svg\b[^>]*>)", 1)
+    own = F.when(~tag.rlike(r"(?i)\sxmlns\s*="), F.lit(' xmlns="http://www.w3.org/2000/svg"')).otherwise("")
+    link = F.when(text.rlike(r"(?i)\sxlink:") & ~tag.rlike(r"(?i)\sxmlns:xlink\s*="), F.lit(' xmlns:xlink="http://www.w3.org/1999/xlink"')).otherwise("")
+    at = F.regexp_instr(text, F.lit(r"(?i)<svg\b"))
+    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at + 3), own, link, F.substr(text, at + 4))).otherwise(text)
+
+
 def decode_mappings(text: str) -> list[tuple]:
     """The mappings of a source map (version 3) as rows of MAPPING; lines from 1, columns from 0."""
     try:

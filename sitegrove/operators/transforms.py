@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructType
 
 from sitegrove.extract.css import count_rules, declarations
-from sitegrove.extract.javascript import _TOKEN
+from sitegrove.extract.javascript import _TOKEN, compressed
 from sitegrove.functions.urls import build_href, crossorigin, data_url, href_type, query_map, with_fragment, without_fragment
 from sitegrove.functions.urls import fragment as fragment_of
 from sitegrove.graph import Graph
@@ -621,6 +621,8 @@ def minified(type_: str, text: str) -> str:
             return json.dumps(json.loads(text), ensure_ascii=False, separators=(",", ":"))
         except ValueError:
             return text
+    if type_ == "JavaScript":
+        return compressed(text)
     if type_ == "Css":
         kept: list[str] = []
         for m in re.finditer(r"/\*.*?\*/|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\s+|[{}:;,>]|[^\s{}:;,>\"'/]+|/", text, re.S):
@@ -636,7 +638,7 @@ def minified(type_: str, text: str) -> str:
 
 @transform
 def minify_assets(graph: Graph, wanted: Query = None) -> Graph:
-    """Minifies the matching Json, Css and Xml texts, and drops comments of Html."""
+    """Minifies the matching Json, JavaScript, Css and Xml texts, and drops comments of Html."""
     match = predicate(graph.assets, wanted)
 
     @F.pandas_udf(StringType())
@@ -646,6 +648,12 @@ def minify_assets(graph: Graph, wanted: Query = None) -> Graph:
     return graph.with_(assets=graph.assets.withColumn("text", F.coalesce(work("type", F.when(match, F.col("text"))), F.col("text"))))
 
 
+@transform
+def compress_javascript(graph: Graph, wanted: Query = None) -> Graph:
+    """minify_assets for the matching scripts: comments and white space go, names stay."""
+    return minify_assets(graph, {"type": "JavaScript"} | dict(wanted or {}))
+
+
 def bundled_declarations(text: str) -> list[tuple[str, str]]:
     """(selector, declaration) of the top-level style rules of a sheet."""
     return [(around[-1], body) for kind, around, body in declarations(text) if kind == "declaration" and len(around) == 1 and not around[-1].startswith("@")]

@@ -23,3 +23,14 @@ def test_conditions():
 
 def test_decoding():
     assert decode(b"\xe9", "ISO-8859-1") == "é" and decode(b"\xe9", None) == "é" and decode("é".encode(), None) == "é" and decode(b"a", "nope") == "a" and decode(None, "x") is None and decode(b"\x8e", "macintosh") == "é" and decode(b"\xff", "utf-8") == "�"
+
+
+def test_svg_namespaces(spark):
+    rows = spark.createDataFrame([("<svg><use xlink:href='#a'/></svg>",), ("<svg xmlns='x'/>",), ("<p>",)], "t string")
+    assert [r[0] for r in rows.select(X.with_svg_namespaces(F.col("t"))).collect()] == ['<svg xmlns="http://www.w3.org/2000/svg" xmlns:xlink="http://www.w3.org/1999/xlink"><use xlink:href=\'#a\'/></svg>', "<svg xmlns='x'/>", "<p>"]
+
+
+def test_compressed_scripts():
+    from sitegrove.extract.javascript import compressed
+
+    assert compressed("var a = 1 ; // x\n/* y */ if ( a ) {\n  b ( + + a , 'c  d' )\n}\nreturn /  \\/ / . test ( a )\nc\n++d") == "var a=1;if(a){b(+ +a,'c  d')}\nreturn/  \\/ /.test(a)\nc\n++d"
