@@ -154,6 +154,16 @@ QUERIES = {
 }
 
 SQL = {
+    "inline_owners": f"""{HOLD}, p AS (SELECT to_id, arg_min(from_id, (ord, from_id)) AS parent FROM r WHERE to_id IN (SELECT id FROM a WHERE url IS NULL) GROUP BY to_id),
+o AS (SELECT id, id AS owner_id FROM a WHERE url IS NOT NULL UNION SELECT p.to_id, o.owner_id FROM o JOIN p ON p.parent = o.id) SELECT id, owner_id FROM o""",
+    "css_imports_to_styles": f"""{HOLD}, s AS (SELECT DISTINCT from_id AS page, to_id AS sheet FROM r WHERE type = 'HtmlStyle' AND to_id IS NOT NULL), i AS (SELECT DISTINCT from_id, to_id FROM r WHERE type = 'CssImport' AND to_id IS NOT NULL),
+m AS (SELECT page, sheet, to_id AS y FROM s JOIN i ON i.from_id = s.sheet UNION SELECT m.page, m.sheet, i.to_id FROM m JOIN i ON i.from_id = m.y)
+SELECT from_id, to_id FROM r WHERE type = 'HtmlStyle' UNION ALL SELECT DISTINCT page, y FROM m WHERE y <> sheet""",
+    "cache_manifest_entries": f"""{HOLD}, e AS (SELECT DISTINCT from_id, to_id FROM r WHERE to_id IS NOT NULL AND type NOT IN ('HtmlAnchor', 'HtmlMetaRefresh', 'HtmlCacheManifest', 'HtmlConditionalComment', 'JavaScriptSourceUrl', 'JavaScriptSourceMappingUrl', 'JavaScriptSourceMap')),
+p AS (SELECT id, coalesce((SELECT min(to_id) FROM r WHERE r.type = 'HtmlCacheManifest' AND r.from_id = a.id), md5('manifest|' || id)) AS manifest FROM a WHERE type = 'Html' AND url IS NOT NULL AND is_initial),
+m AS (SELECT id AS start, id FROM p UNION SELECT m.start, e.to_id FROM m JOIN e ON e.from_id = m.id)
+SELECT from_id, to_id FROM r WHERE type = 'CacheManifestEntry' UNION ALL
+SELECT p.manifest, m.id FROM m JOIN p ON p.id = m.start JOIN a ON a.id = m.id WHERE m.id <> m.start AND a.url IS NOT NULL AND a.is_loaded AND NOT EXISTS (SELECT 1 FROM r WHERE r.type = 'CacheManifestEntry' AND r.from_id = p.manifest AND r.to_id = m.id)""",
     "facts": f"""{HOLD} SELECT id, url IS NULL AS is_inline, coalesce(type IN ('Png', 'Gif', 'Jpeg', 'Svg'), false) AS is_image, coalesce(type = 'Woff2', false) AS is_font, coalesce(type IN ('Html', 'JavaScript', 'Css', 'Json', 'Svg', 'Atom', 'Text'), false) AS is_text,
 CASE WHEN type = 'Html' THEN NOT regexp_matches(text, '(?i)<(?:!doctype|html|head|body)[\\s>]') END AS is_fragment,
 CASE WHEN type = 'JavaScript' THEN regexp_matches(regexp_replace(text, '(?s:/\\*.*?\\*/)|//[^\\n]*', '', 'g'), '^\\s*["'']use strict["'']') END AS is_strict,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitegrove.functions import urls as U
 from sitegrove.operators import aggregate, traverse
 from sitegrove.plans.tables_graph import HOLD, narrow_graph
-from sitegrove.schema import inferred_type
+from sitegrove.schema import inferred_type, registry
 from sitegrove.sinks import stats_table
 from sitegrove.sources.tables import holding, table
 
@@ -158,7 +158,19 @@ _PATH = "regexp_extract({0}, '(?i)^(?:[a-z][a-z0-9+.\\-]*:)?(?://[^/?#]*)?([^?#]
 _FILE = f"nullif(CASE WHEN regexp_matches({{0}}, '(?i)^(?:https?|file):') THEN regexp_extract({_PATH}, '([^/]+)$', 1) END, '')"
 _SURVIVORS = f"{HOLD}, m AS (SELECT id, first_value(id) OVER (PARTITION BY type, md5_hex ORDER BY seq, id) AS survivor, count(*) OVER (PARTITION BY type, md5_hex) AS copies FROM a WHERE md5_hex IS NOT NULL)"
 
+_NAMES = sorted(registry.types)
+_CLASHES = ", ".join(f"('{a}', '{b}')" for a in _NAMES for b in _NAMES if a < b and not registry.compatible(a, b))
+
 SQL = {
+    "incompatible_types": f"""{HOLD}, t AS (SELECT to_id AS id, target_type AS t FROM r WHERE to_id IS NOT NULL AND target_type IS NOT NULL UNION SELECT id, type FROM a WHERE type <> 'Asset')
+SELECT 'warn' AS severity, 'incompatible-types' AS code, x.id AS asset_id, 'used as both ' || x.t || ' and ' || y.t AS message FROM t x JOIN t y ON x.id = y.id AND x.t < y.t WHERE (x.t, y.t) IN ({_CLASHES})""",
+    "unreferenced_assets": f"""{HOLD}, c AS (SELECT id FROM a WHERE url IS NOT NULL AND is_initial IS DISTINCT FROM true), e AS (SELECT DISTINCT from_id, to_id FROM r WHERE to_id IS NOT NULL),
+tc AS (SELECT from_id AS src, to_id AS dst FROM e UNION SELECT tc.src, e.to_id FROM tc JOIN e ON e.from_id = tc.dst)
+SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM tc WHERE tc.dst = c.id AND (tc.src NOT IN (SELECT id FROM c) OR tc.src IN (SELECT src FROM tc WHERE src = dst)))""",
+    "selector_chunks": f"""{HOLD}, w AS (SELECT from_id, length(coalesce(href, '')) AS w, row_number() OVER (PARTITION BY from_id ORDER BY id) AS k FROM r),
+x AS (SELECT from_id, k, w, CAST(w AS BIGINT) AS total, 0 AS chunk FROM w WHERE k = 1
+UNION ALL SELECT w.from_id, w.k, w.w, CASE WHEN x.total + w.w > 100 AND x.total > 0 THEN w.w ELSE x.total + w.w END, CASE WHEN x.total + w.w > 100 AND x.total > 0 THEN x.chunk + 1 ELSE x.chunk END FROM x JOIN w ON w.from_id IS NOT DISTINCT FROM x.from_id AND w.k = x.k + 1)
+SELECT from_id, chunk, count(*) AS n, CAST(sum(w) AS BIGINT) AS w FROM x GROUP BY 1, 2""",
     "anchors_by_href_type": f"{HOLD} SELECT from_id, {_KIND} AS kind, count(*) AS n FROM r WHERE type = 'HtmlAnchor' GROUP BY 1, 2",
     "relation_counts_by_type": f"{HOLD} SELECT type, count(*) AS n, count(to_id) AS resolved, count(DISTINCT from_id) AS sources FROM r GROUP BY 1",
     "find_assets_regex": f"{HOLD} SELECT id, url, seq FROM a WHERE type = 'Html' AND regexp_matches(url, '\\.html(\\?|$)')",
