@@ -150,14 +150,15 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = RUN, block_items:
     """One row per document, item and field (passage or answer) with at least `run` consecutive words in common.
 
     shared_words is the longest such run (up to the length of a query window), question_seen whether all words of the
-    question occur in the document, answer_seen whether the answer occurs in it. Null and empty texts have no words;
+    question occur in the document, answer_seen whether the answer occurs in it. Null and empty texts have no words; rows
+    without doc_id or item_id are left out;
     items with shorter passages and answers cannot leak; repeated items are reported once each; without items the
     result is empty. Items are taken in blocks of about `block_items`, each of them against all documents.
     """
     spark = documents.sparkSession
-    columns = items.select("item_id", "passage", "question", "answer")
+    columns = items.select("item_id", "passage", "question", "answer").where(F.col("item_id").isNotNull())
     blocks = max(1, -(-columns.count() // block_items))
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     out = spark.createDataFrame([], LEAK)
     for b in range(blocks):
         block = columns.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)

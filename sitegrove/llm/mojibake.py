@@ -334,7 +334,7 @@ def garbled_records(records: DataFrame, source: str, field: str, restore: bool =
     raw_src unread. Ties of ingested_at are equal rows; an empty table gives an empty result.
     """
     high = F.when(F.col("text").rlike(r"[^\x00-\x7F]"), F.col("text"))
-    state = fit(records.select(F.col(source).alias("source"), F.col(field).alias("field"), "text").where(F.col("text").rlike(r"[^\x00-\x7F]")), steps)
+    state = fit(records.select(F.col(source).cast("string").alias("source"), F.col(field).cast("string").alias("field"), "text").where(F.col("text").rlike(r"[^\x00-\x7F]")), steps)
     shared, token = records.sparkSession.sparkContext.broadcast(state), uuid.uuid4().hex
 
     @F.pandas_udf(VERDICT)
@@ -353,6 +353,6 @@ def garbled_records(records: DataFrame, source: str, field: str, restore: bool =
             yield pd.DataFrame(rows, columns=VERDICT.names)
 
     raw: Column = F.when(high.isNotNull(), F.col("raw_src")) if restore else F.lit(None).cast("binary")
-    judged = records.select("id", "ingested_at", verdict(F.col(source), F.col(field), high, raw).alias("v"))
+    judged = records.select("id", "ingested_at", verdict(F.col(source).cast("string"), F.col(field).cast("string"), high, raw).alias("v"))
     kept = holding(judged.select("id", "ingested_at", "v.garbled", "v.chain", "v.restored"), "garbled", "chain", "restored")
     return kept.where("garbled").select("id", "chain", "restored")

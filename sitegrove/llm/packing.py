@@ -81,15 +81,19 @@ def _packer(capacity: int, prefix: str) -> Callable[[pd.DataFrame], pd.DataFrame
     return pack
 
 
-def pack_documents(documents: DataFrame, capacity: int, pack_rows: int = PACK_ROWS) -> DataFrame:
+def pack_documents(documents: DataFrame, capacity: int | None, pack_rows: int = PACK_ROWS) -> DataFrame:
     """doc_id, part, tokens, container, used (tokens in the container) and whole (the document is undivided).
 
     Only documents with more tokens than the capacity are divided: into full containers and one rest, which is packed
-    like any document. Null and empty texts have no tokens and get no row. Repeated doc_ids are items of their own.
+    like any document. Null and empty texts have no tokens and get no row, nor
+    have documents without doc_id. Repeated doc_ids are items of their own. Without a capacity (None, no limit is set)
+    there are no containers and the result is empty.
     """
+    if capacity is None:
+        return documents.sparkSession.createDataFrame([], PACKED)
     if capacity < 1:
         raise ValueError("capacity must be 1 or more")
-    counted = documents.select("doc_id", word_punct_tokens(F.col("text")).alias("n")).where(F.col("n") > 0)
+    counted = documents.select("doc_id", word_punct_tokens(F.col("text")).alias("n")).where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     n = F.col("n")
     parts = F.sequence(F.lit(0), F.ceil(n / capacity).cast("int") - 1)
     items = counted.select("doc_id", (n <= capacity).alias("whole"), n, F.explode(parts).alias("part")).select("doc_id", "part", "whole", F.least(n - F.col("part") * capacity, F.lit(capacity)).cast("int").alias("tokens"))

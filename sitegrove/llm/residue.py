@@ -254,10 +254,10 @@ def residue(documents: DataFrame, repeated_docs: int = REPEATED_DOCS, repeated_h
     """doc_id and reason ('placeholder', 'wording' or 'repeated response') of the documents to leave out.
 
     The repeated bodies are counted with map-side combine and joined back by their hash; only documents that are one
-    short body take part, and only those whose body has no term of their address. Null texts give no row; an empty text
+    short body take part, and only those whose body has no term of their address. Null texts and rows without doc_id give no row; an empty text
     is no residue. Null sources count as one host. Repeated doc_ids are judged each.
     """
-    kept = documents.select("doc_id", "text", "source", "path").where(F.col("text").isNotNull()).mapInPandas(_features, FEATURES)
+    kept = documents.select("doc_id", "text", "source", "path").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInPandas(_features, FEATURES)
     key = F.when(F.col("body").isNotNull() & F.col("left").isNull() & (F.col("junk") == 0) & F.col("mismatch") & (F.length("body") > 0), F.md5("body"))
     judged = cut(kept.select("doc_id", "host", "left", "junk", "own", key.alias("key")).where(F.col("left").isNotNull() | (F.col("own") == 0) | F.col("key").isNotNull()))
     per_host = judged.where(F.col("key").isNotNull()).groupBy("key", "host").agg(F.count(F.lit(1)).alias("n"))

@@ -106,7 +106,7 @@ def _range_pieces(text: pd.Series, shift: pd.Series, number: pd.Series, length:
 def split_texts(items: DataFrame, key: str, range_pieces: int = RANGE_PIECES) -> DataFrame:
     """Pieces of the items that are longer than their limit.
 
-    `items` has the `key`, content, max_size, overlap and node_ends (array of offsets or null); one row per key. Returns
+    `items` has the `key`, content, max_size, overlap (not null) and node_ends (array of offsets or null); one row per key. Returns
     key, piece_no (from 0), start, end (exclusive, in code points), cut (kind of boundary at the end) and text. Every
     piece has at most max_size characters, each but the first begins `overlap` characters before the end of the one
     before, and without these the pieces are the content again. Items within their limit, null contents and null limits
@@ -134,9 +134,9 @@ def oversized_assets(assets: DataFrame, limits: DataFrame) -> DataFrame:
     """Items for split_texts: the assets longer than the limit of their type, once each.
 
     Lengths are compared over narrow rows, so only texts that are too long are shuffled. Types without a row in `limits`
-    have no limit; two rows of one type count as the smaller.
+    have no limit, nor have rows without max_size; a null overlap is 0; two rows of one type count as the smaller.
     """
-    bounds = limits.where(F.col("type").isNotNull() & (F.col("target_table") == "assets")).groupBy("type").agg(F.min(F.struct("max_size", "overlap")).alias("l")).select("type", "l.max_size", "l.overlap")
+    bounds = limits.where(F.col("type").isNotNull() & F.col("max_size").isNotNull() & (F.col("target_table") == "assets")).groupBy("type").agg(F.min(F.struct("max_size", F.coalesce("overlap", F.lit(0)).alias("overlap"))).alias("l")).select("type", "l.max_size", "l.overlap")
     texts = assets.select("id", "ingested_at", "type", "parse_tree", content().alias("content"))
     narrow = holding(texts.select("id", "ingested_at", "type", F.char_length("content").alias("n_chars")).withColumn("_at", F.col("ingested_at")), "type", "n_chars", "_at")
     winners = narrow.join(F.broadcast(bounds), "type").where(F.col("n_chars") > F.col("max_size")).select("id", F.col("_at").alias("ingested_at"), "max_size", "overlap")

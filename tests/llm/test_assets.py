@@ -95,7 +95,7 @@ def test_cuts_are_natural(spark):
 
 
 def test_oversized_assets(spark):
-    limits = spark.createDataFrame([("assets", "Text", 5, 1), ("documents", None, 3, 0)], "target_table string, type string, max_size int, overlap int")
+    limits = spark.createDataFrame([("assets", "Text", 5, 1), ("documents", None, 3, 0), ("assets", "Html", None, None), (None, "Html", 1, 0)], "target_table string, type string, max_size int, overlap int")
     df = assets(spark, {"id": "a", "type": "Text", "text": "123456"}, {"id": "a", "type": "Text", "text": "123456"}, {"id": "b", "type": "Text", "text": "12345"}, {"id": "c", "type": "Html", "text": "1234567"}, {"id": "d", "type": "Text", "raw_src": "ééééééé".encode("utf-16-le"), "encoding": "utf-16le"}, {"id": "e", "type": "Text"}, {"id": "f", "type": "Text", "text": "1234567"}, {"id": "f", "type": "Text", "text": "1", "ingested_at": T0 + dt.timedelta(1)})
     assert ids(split_texts(oversized_assets(df, limits), "id").select("id").distinct()) == ["a", "d"]
     assert oversized_assets(df.limit(0), limits).count() == 0

@@ -154,3 +154,13 @@ def test_long_texts_are_linear():
     for text in ("`x " * 50_000, "<code> " * 50_000, "{{ " * 50_000, "(a " * 50_000):
         features(1, text, None, None)
     assert running_text("a ``b`c`` d `e") == "a   d `e"
+
+
+def test_rows_without_ids(spark):
+    big = 2**60 + 1
+    frame = spark.createDataFrame([(None, "404 Not Found", None, None), (big, "404 Not Found " + " ".join(map(str, range(20))), None, None), (big + 2, "Dear {{ name }}", None, None)], "doc_id long, text string, source string, path string")
+    assert {r.doc_id for r in residue(frame).collect()} == {big + 2}
+    assert {r.doc_id for r in pack_documents(frame, 10).collect()} == {big, big + 2}
+    assert pack_documents(frame, None).count() == 0
+    items = spark.createDataFrame([(None, "x " * 20, None, None), (5, " ".join(map(str, range(14))), None, None)], "item_id int, passage string, question string, answer string")
+    assert [(r.doc_id, r.item_id) for r in leaked(frame, items).collect()] == [(big, 5)]
