@@ -2,28 +2,29 @@
 
 The test items (passages and answers of 13 words or more) form the index; blocks of items that fit a fixed bound are
 built into one index each, so the index never outgrows a worker. The query side is every document, whole: its words are
-cut where a word is unknown to the index (no shared run can cross it), and each remaining run of 13 words or more is a
-query. Block-max WAND returns all entries above a threshold. The threshold is exact: an entry's scores are divided by
-the least score that any 13 consecutive words of the entry have, so a passage that shares 13 consecutive words scores 1
-or more. Candidates are verified word by word, and the overlap with question and answer is reported.
+cut where a word is unknown to the index (no shared run can cross it), and the remaining runs of 13 words or more are
+queried in short windows. Block-max WAND returns all entries above a threshold that loses nothing: an entry that shares
+13 consecutive words has at least the least impact of each of them, so the threshold is the least such sum over the
+window's 13-word runs; and at least the least score that any 13 consecutive words of the entry itself have. Candidates
+are verified word by word, and the overlap with question and answer is reported.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
-from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructType
 
-#: Consecutive words that make a leak, words of a query, and items of an index.
-RUN, QUERY_WORDS, BLOCK_ITEMS = 13, 256, 20_000
+#: Consecutive words that make a leak, further words of a query, and items of an index.
+RUN, QUERY_MORE, BLOCK_ITEMS = 13, 7, 20_000
 K1, B, BLOCK = 1.2, 0.75, 64
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _FORMAT = regex.compile(r"\p{Cf}+")
@@ -40,7 +41,7 @@ def words(text: str | None) -> list[str]:
 
 
 class Index:
-    """An inverted index of entries (item, field, words) with impacts divided by each entry's threshold."""
+    """An inverted index of entries (item, field, words) with BM25 impacts in blocks."""
 
     def __init__(self, items: list[tuple[int, str | None, str | None, str | None]], run: int = RUN):
         self.run, self.entries = run, []
@@ -57,64 +58,49 @@ class Index:
         average = sum(len(found) for _, _, found in self.entries) / n if n else 1
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         self.grams: list[set[tuple[str, ...]]] = []
+        self.least: list[float] = []
         for e, (_, _, found) in enumerate(self.entries):
             impact = {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(found) / average)) for w, tf in Counter(found).items()}
             grams = {tuple(found[i : i + run]) for i in range(len(found) - run + 1)}
-            least = min(sum(impact[w] for w in set(g)) for g in grams)
             self.grams.append(grams)
+            self.least.append(min(sum(impact[w] for w in set(g)) for g in grams) * (1 - 1e-9))
             for w, x in impact.items():
-                postings[w].append((e, x / least))
-        self.lists = {w: ([e for e, _ in p], [x for _, x in p], [max(x for _, x in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)], max(x for _, x in p)) for w, p in postings.items()}
-
-    def retrieve(self, query: set[str], threshold: float = 1 - 1e-9) -> list[int]:
-        """All entries whose score for the query's words is at least `threshold`, by block-max WAND."""
-        cursors = [[0, *self.lists[w]] for w in query if w in self.lists]  # position, entries, impacts, block maxima, bound
-        if sum(c[4] for c in cursors) < threshold:
+                postings[w].append((e, x))
+        # Per term: entries, impacts, the blocks they fall in, and each block's greatest impact.
+        self.lists: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]] = {}
+        for w, p in postings.items():
+            entries, impacts = np.array([e for e, _ in p], dtype=np.int64), np.array([x for _, x in p])
+            blocks, first = np.unique(entries // BLOCK, return_index=True)
+            self.lists[w] = entries, impacts, blocks, np.maximum.reduceat(impacts, first), float(impacts.max())
+        self.lower = {w: min(x for _, x in p) for w, p in postings.items()}
+
+    def retrieve(self, query: set[str], threshold: float) -> list[tuple[int, float]]:
+        """(entry, score) of all entries whose score for the query's words is at least `threshold`: block-max WAND.
+
+        Entries are passed block by block. If the lists' bounds together, or their greatest impacts within a block, stay
+        below the threshold, no entry there can reach it, and the block's postings are not scored.
+        """
+        lists = [self.lists[w] for w in query if w in self.lists]
+        if sum(bound for *_, bound in lists) < threshold:
+            return []
+        bounds = np.zeros(len(self.entries) // BLOCK + 1)
+        for _, _, blocks, greatest, _ in lists:
+            bounds[blocks] += greatest
+        alive = bounds >= threshold
+        if not alive.any():
             return []
-        out = []
-        cursors.sort(key=lambda c: c[1][c[0]])
-        while cursors:
-            bound, pivot = 0.0, None
-            for k, c in enumerate(cursors):
-                bound += c[4]
-                if bound >= threshold:
-                    pivot = k
-                    break
-            if pivot is None:
-                return out
-            entry = cursors[pivot][1][cursors[pivot][0]]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][1][cursors[pivot + 1][0]] == entry:
-                pivot += 1
-            # The blocks that would hold the pivot entry bound its score from above more tightly.
-            blocks, limit = 0.0, None
-            for c in cursors[: pivot + 1]:
-                at = c[0] if c[1][c[0]] == entry else bisect_left(c[1], entry, c[0])
-                if at < len(c[1]):
-                    blocks += c[3][at // BLOCK]
-                    end = c[1][min((at // BLOCK + 1) * BLOCK, len(c[1])) - 1]
-                    limit = end if limit is None else min(limit, end)
-            if blocks < threshold:
-                target = limit + 1 if limit is not None else entry + 1
-                if pivot + 1 < len(cursors):
-                    target = min(target, cursors[pivot + 1][1][cursors[pivot + 1][0]])
-                target = max(target, entry + 1)
+        every = bool(alive.all())
+        scores = np.zeros(len(self.entries))
+        for entries, impacts, *_ in lists:
+            if every:
+                scores[entries] += impacts
             else:
-                score = 0.0
-                for c in cursors[: pivot + 1]:
-                    at = c[0] = bisect_left(c[1], entry, c[0])
-                    if at < len(c[1]) and c[1][at] == entry:
-                        score += c[2][at]
-                if score >= threshold:
-                    out.append(entry)
-                target = entry + 1
-            for c in cursors[: pivot + 1]:
-                if c[0] < len(c[1]):
-                    c[0] = bisect_left(c[1], target, c[0])
-            cursors = sorted((c for c in cursors if c[0] < len(c[1])), key=lambda c: c[1][c[0]])
-        return out
+                kept = alive[entries // BLOCK]
+                scores[entries[kept]] += impacts[kept]
+        return [(int(e), float(scores[e])) for e in np.flatnonzero(scores >= threshold)]
 
     def passages(self, found: list[str]) -> Iterator[list[str]]:
-        """Runs of words that the index knows, in windows that overlap by one word less than a leak."""
+        """Runs of words that the index knows, if they are long enough for a leak."""
         run: list[str] = []
         known = self.lists
         for w in [*found, None]:
@@ -122,17 +108,26 @@ class Index:
                 run.append(w)
                 continue
             if len(run) >= self.run:
-                for i in range(0, max(1, len(run) - self.run + 1), QUERY_WORDS - self.run + 1):
-                    yield run[i : i + QUERY_WORDS]
+                yield run
             run = []
 
+    def candidates(self, passage: list[str]) -> set[int]:
+        """Entries that may share a run with the passage. Its windows overlap by one word less than a run."""
+        out: set[int] = set()
+        lower, run = self.lower, self.run
+        for i in range(0, max(1, len(passage) - run + 1), QUERY_MORE + 1):
+            window = passage[i : i + run + QUERY_MORE]
+            threshold = min(sum(lower[w] for w in set(window[k : k + run])) for k in range(len(window) - run + 1)) * (1 - 1e-9)
+            out.update(e for e, score in self.retrieve(set(window), threshold) if e not in out and score >= self.least[e])
+        return out
+
     def leaks(self, text: str | None) -> list[tuple[int, str, int, bool, bool]]:
         """(item, field, most shared consecutive words, question seen, answer seen) for each item and field that leaks."""
         found = words(text)
         best: dict[tuple[int, str], int] = {}
         for passage in self.passages(found):
             grams = [tuple(passage[i : i + self.run]) for i in range(len(passage) - self.run + 1)]
-            for e in self.retrieve(set(passage)):
+            for e in self.candidates(passage):
                 longest = now = 0
                 for g in grams:
                     now = now + 1 if g in self.grams[e] else 0
@@ -149,7 +144,7 @@ class Index:
 def leaked(documents: DataFrame, items: DataFrame, run: int = RUN, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row per document, item and field (passage or answer) with at least `run` consecutive words in common.
 
-    shared_words is the longest such run (up to the length of a query window), question_seen whether all words of the
+    shared_words is the longest such run, question_seen whether all words of the
     question occur in the document, answer_seen whether the answer occurs in it. Null and empty texts have no words; rows
     without doc_id or item_id are left out;
     items with shorter passages and answers cannot leak; repeated items are reported once each; without items the

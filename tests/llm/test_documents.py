@@ -105,8 +105,10 @@ def test_block_max_wand_returns_all_above_threshold():
             if w in index.lists:
                 for e, x in zip(*index.lists[w][:2]):
                     scores[e] = scores.get(e, 0) + x
-        for threshold in (0.3, 1 - 1e-9, 2.0):
-            assert sorted(index.retrieve(query, threshold)) == sorted(e for e, s in scores.items() if s >= threshold - 1e-12 and s >= threshold)
+        for threshold in (2.0, 8.0, 20.0):
+            got = dict(index.retrieve(query, threshold))
+            assert all(abs(x - scores[e]) < 1e-9 for e, x in got.items())
+            assert {e for e, x in scores.items() if x > threshold + 1e-9} <= set(got) <= {e for e, x in scores.items() if x > threshold - 1e-9}
 
 
 def test_nulls_in_items(spark):
