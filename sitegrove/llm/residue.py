@@ -30,6 +30,43 @@ REPEATED_DOCS, REPEATED_HOSTS = 5, 3
 NOTICE_WORDS, SENTENCE_WORDS = 60, 18
 
 _I = re.IGNORECASE
+
+
+def _stems(items) -> set[str] | None:
+    """Texts of which any match of a parsed pattern must hold one, in lower case; None if there is no such set."""
+    best: set[str] | None = None
+    run = ""
+    options: list[set[str] | None] = []
+    for op, value in [*items, (None, None)]:
+        if op is re._constants.LITERAL:
+            run += chr(value).lower()
+            continue
+        if run:
+            options.append({run})
+            run = ""
+        if op is re._constants.SUBPATTERN:
+            options.append(_stems(value[3]))
+        elif op is re._constants.BRANCH:
+            inner = [_stems(branch) for branch in value[1]]
+            options.append(None if any(i is None for i in inner) else set().union(*inner))
+        elif op in (re._constants.MAX_REPEAT, re._constants.MIN_REPEAT) and value[0] > 0:
+            options.append(_stems(value[2]))
+    for option in options:
+        if option and (best is None or min(map(len, option)) > min(map(len, best))):
+            best = option
+    return best
+
+
+class Wording:
+    """A large alternation without regard to case, tried only on texts that hold one of the stems it needs."""
+
+    def __init__(self, pattern: str):
+        self.pattern = re.compile(pattern, _I)
+        self.stems = tuple(sorted(_stems(re._parser.parse(pattern, _I)) or ("",)))
+
+    def search(self, text: str) -> re.Match | None:
+        lower = text.lower()
+        return self.pattern.search(text) if any(stem in lower for stem in self.stems) else None
 #: Set aside: what shows or quotes a placeholder, but doesn't leave one.
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
 _TICKS = re.compile(r"`+")
@@ -63,23 +100,20 @@ _MAYBE = re.compile(r"[{\[<%$@|]|__|[Xx]{4}|TB[DCA]|tbd")
 _LOWER_TAG = re.compile(r"<([a-z]+(?:[-_][a-z]+)+)>")
 
 #: Wording of notices and filler in the languages of the corpus, as word beginnings.
-ERROR_WORDING = re.compile(
+ERROR_WORDING = Wording(
     r"not be found|not found|could not be found|nothing at this address|no longer exists|introuvable|n['’]existe pas|no se ha encontrado|no se encontr|no encontrad|não (?:foi )?encontrad|nicht gefunden|wurde nicht gefunden|не найден|nie znalezion|nie została znaleziona|nebyla nalezena|nenalezen|δεν βρέθηκε|見つかりません|存在しません"
     r"|bad gateway|gateway time|internal server error|service (?:temporarily )?unavailable|temporarily unavailable|is unavailable|forbidden|access (?:is |was )?denied|permission denied|unauthori[sz]ed|accès (?:refusé|interdit)|acceso (?:denegado|prohibido)|acesso negado|zugriff (?:verweigert|wurde)|доступ (?:запрещ|закрыт|к )|odmowa dostępu|brak dostępu|dostęp zabroniony|přístup (?:odepřen|zamítnut)|δεν επιτρέπεται|απαγορεύεται|άρνηση πρόσβασης|アクセス(?:が|は)?(?:拒否|禁止|でき)|アクセスが拒否"
     r"|indisponible|no disponible|no está disponible|indisponível|nicht (?:verfügbar|erreichbar)|недоступ|niedostępn|nedostupn|δεν είναι διαθέσιμ|μη διαθέσιμ|利用できません|ご利用いただけません"
     r"|maintenance|wartung|mantenimiento|manutenção|техническ\w+ (?:работ|обслуж)|konserwac|prace techniczne|údržb|συντήρησ|メンテナンス"
     r"|too many requests|unusual (?:traffic|number)|rate limit|session has (?:expired|ended|timed)|session (?:expired|timed out)|log ?in again|sign ?in again|could not connect|unable to connect|can['’]t be reached|cannot be reached|refused to connect|connection (?:refused|timed out|was reset)|took too long|unable to (?:complete|process)|something went wrong|went wrong|uncaught exception|exception has occurred|application error|fatal error|stack ?trace|server error|database error|try again (?:later|in )|requête|demasiadas solicitudes|zu viele anfragen|muitas solicitações|слишком много запросов|sitzung ist abgelaufen|session a expiré|sesión ha caducado"
     r"|(?:error|erreur|erro|fehler|ошибка|błąd|chyba|σφάλμα|エラー)\s*(?:code\s*)?[:#(]?\s*[1-5]\d\d\b|\b(?:400|401|403|404|408|410|429|500|502|503|504)\b\s*[-–:.|]?\s*(?:error|fehler|erreur|page|not|bad|gateway|forbidden|server)|エラー|エラ-",
-    _I,
 )
-SCRIPT_WORDING = re.compile(r"java ?script|\bscripts\b|\bscripting\b|\bcookies?\b|skript|скрипт|javascriptu?|σενάρι|スクリプト|クッキー|\bcookies\b|checking (?:your|if the site) |verify (?:that )?you are (?:a )?human|captcha", _I)
-SCRIPT_VERBS = re.compile(
+SCRIPT_WORDING = Wording(r"java ?script|\bscripts\b|\bscripting\b|\bcookies?\b|skript|скрипт|javascriptu?|σενάρι|スクリプト|クッキー|\bcookies\b|checking (?:your|if the site) |verify (?:that )?you are (?:a )?human|captcha")
+SCRIPT_VERBS = Wording(
     r"enabl|turn on|allow|activat|require|need|must|support|disabled|switch(?:ed)? off|reload|solve|proceed|checking|activ|habilit|necesit|necesari|precisa|ative|aktivier|benötig|erforder|einschalt|erlaub|включ|разреш|требу|нуж|отключ|włącz|wymaga|obsług|povol|zapn|vyžaduj|nutn|ενεργοποι|απαιτ|χρειάζ|有効|必要|許可|オンに|autoris|nécessit|requis|requier|veuillez|permit",
-    _I,
 )
-FILLER_WORDING = re.compile(
+FILLER_WORDING = Wording(
     r"^\W*lorem ipsum|dummy text|sample (?:text|paragraph|content)|placeholder (?:text|content)|filler text|some text goes here|text goes here|goes here\b|replace this (?:text|paragraph|sentence|content)|replace before|coming soon|content to follow|under construction|(?:überschrift|titel|text|inhalt) einfügen|folgt (?:später|in kürze)|hier (?:steht|kommt) (?:ein |der |noch |später )?(?:text|inhalt)|texto de (?:relleno|ejemplo|exemplo|preenchimento|amostra|teste)|texte (?:d['’]exemple|de remplissage|factice|provisoire)|faux texte|blindtext|beispieltext|platzhalter|fülltext|muster ?text|текст[- ](?:заполнитель|заглушка|рыба)|пример текста|образец текста|рыба-текст|tekst (?:przykładowy|zastępczy|wypełni)|przykładowy tekst|ukázkový text|výplňový text|zástupný text|vzorový text|κείμενο (?:κράτησης|υποκατάστα|δείγμα|πλήρωσης)|δείγμα κειμένου|ダミー|サンプル(?:テキスト|文)|仮のテキスト|仮テキスト|ここに(?:テキスト|本文|文章)|準備中|近日公開|próximamente|em breve|bientôt|demnächst|скоро (?:здесь|появ)|wkrótce|již brzy|σύντομα|asdf|qwert|test test|foo bar baz",
-    _I,
 )
 #: The vocabulary of the usual filler generators, without words that other languages share.
 LATIN_FILLER = frozenset(
@@ -190,6 +224,11 @@ def skeleton(block: str) -> str:
     return " ".join(terms(out))
 
 
+def _brief(said: str, found: list[str]) -> bool:
+    """Whether a block is short and in short sentences, as notices are (texts without spaces count by their marks)."""
+    return len(found) <= NOTICE_WORDS and all(len(terms(x)) <= SENTENCE_WORDS or any("\u3040" <= c <= "\u9fff" for c in x) for x in _SENTENCE.split(said))
+
+
 def kind_of(block: str, latin: float = 0.25) -> str:
     """'notice', 'filler', 'chrome', or own content: 'syntax' (calls, options, release notes) or ''.
 
@@ -201,12 +240,14 @@ def kind_of(block: str, latin: float = 0.25) -> str:
         return "syntax"
     found = terms(block)
     said = _QUOTED.sub(" ", without_inline_code(block))
-    brief = len(found) <= NOTICE_WORDS and all(len(terms(x)) <= SENTENCE_WORDS or any("\u3040" <= c <= "\u9fff" for c in x) for x in _SENTENCE.split(said))
-    if (brief and FILLER_WORDING.search(said)) or (len(found) >= 6 and len(set(found)) <= len(found) // 3 and not set(found) & {"0", "1"}):
+    if FILLER_WORDING.search(said) and _brief(said, found):
+        return "filler"
+    distinct = set(found)
+    if len(found) >= 6 and len(distinct) <= len(found) // 3 and not distinct & {"0", "1"}:
         return "filler"
     if len(found) >= 4 and sum(w in LATIN_FILLER for w in found) >= latin * len(found):
         return "filler"
-    if brief and (ERROR_WORDING.search(said) or (SCRIPT_WORDING.search(said) and SCRIPT_VERBS.search(said))):
+    if (ERROR_WORDING.search(said) or (SCRIPT_WORDING.search(said) and SCRIPT_VERBS.search(said))) and _brief(said, found):
         return "notice"
     if len(found) <= 3 and not re.search(r"[.!?。:]$", block):
         return "chrome"
