@@ -288,8 +288,8 @@ def build_href(to_url: pd.Series, from_url: pd.Series, kind: pd.Series) -> pd.Se
 
 
 def data_url(content_type: Column, raw: Column) -> Column:
-    """The shorter of the percent-encoded and the base64 form of the bytes."""
-    text = F.decode(raw, "utf-8")
+    """The shorter of the percent-encoded and the base64 form of the bytes; bytes that aren't UTF-8 have only the latter."""
+    text = F.try_validate_utf8(raw.cast("string"))
     escaped = F.regexp_replace(F.url_encode(text), r"\+", "%20")
     plain = F.concat(F.lit("data:"), F.coalesce(content_type, F.lit("")), F.lit(","), escaped)
     coded = F.concat(F.lit("data:"), F.coalesce(content_type, F.lit("")), F.lit(";base64,"), F.base64(raw))
