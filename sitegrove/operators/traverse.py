@@ -156,20 +156,20 @@ def inline_owner(assets: DataFrame, relations: DataFrame, max_depth: int = 16) -
     return out
 
 
-def propagate_min(edges: DataFrame, values: DataFrame, weight: Column | None = None, max_rounds: int = 64) -> DataFrame:
+def propagate_min(edges: DataFrame, values: DataFrame, weight: Column | None = None) -> DataFrame:
     """(id, value): for every node the least value that reaches it along edges (from_id, to_id), a backward fixpoint.
 
     `values` (id, value) holds the fixed starts. With `weight`, a column of the edges that isn't null, the edge brings that
-    value instead of its source's.
+    value instead of its source's. The loop ends by itself: a node enters once and its value only falls afterwards. A null
+    value travels too, but any other replaces it.
     """
     links = cut(edges.select("from_id", "to_id", (F.lit(None).cast("int") if weight is None else weight).alias("_w")).where(F.col("to_id").isNotNull()))
     fixed = links.where(F.col("_w").isNotNull()).select(F.col("to_id").alias("id"), F.col("_w").alias("value"))
     state = cut(values.select("id", "value").unionByName(fixed).groupBy("id").agg(F.min("value").alias("value")))
-    frontier, rounds = state, 0
-    while not frontier.isEmpty() and rounds < max_rounds:
-        rounds += 1
+    frontier = state
+    while not frontier.isEmpty():
         offered = links.where(F.col("_w").isNull()).join(frontier.select(F.col("id").alias("from_id"), "value"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.min("value").alias("value"))
-        better = offered.join(state.select("id", F.col("value").alias("_old")), "id", "left").where(F.col("_old").isNull() | (F.col("value") < F.col("_old"))).select("id", "value")
+        better = offered.join(state.select("id", F.struct("value").alias("_old")), "id", "left").where(F.col("_old").isNull() | (F.col("value").isNotNull() & (F.col("_old.value").isNull() | (F.col("value") < F.col("_old.value"))))).select("id", "value")
         frontier = cut(better)
         state = cut(state.unionByName(frontier).groupBy("id").agg(F.min("value").alias("value")))
     return state
