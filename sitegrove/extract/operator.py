@@ -15,6 +15,7 @@ from sitegrove.extract.html import extract_html
 from sitegrove.extract.javascript import extract_javascript
 from sitegrove.functions.urls import resolve_url
 from sitegrove.schema import RELATIONS, registry
+from sitegrove.session import cut
 
 #: Extractors by asset type; more can be registered.
 EXTRACTORS: dict[str, Callable[[str], list[Edge]]] = {
@@ -74,20 +75,23 @@ def redirects(assets: DataFrame) -> DataFrame:
     return rows(http, "HttpRedirect", F.col("location")).unionByName(rows(folder, "FileRedirect", F.concat("url", F.lit("index.html"))))
 
 
-def with_inline(assets: DataFrame, levels: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(relations, inline assets) of the assets and of the inline assets in them, `levels` deep.
+def with_inline(assets: DataFrame, levels: int | None = 4) -> tuple[DataFrame, DataFrame]:
+    """(relations, inline assets) of the assets and of the inline assets in them, `levels` deep; with None, to the last level.
 
-    An inline asset's id is its relation's source and position, its owner the non-inline asset around it.
+    The last level is found by writing each one: an inline asset is a part of the text around it, so there is one. An inline asset's id is its relation's source and position, its owner the non-inline asset around it.
     """
     current = assets.select("id", "type", "text", F.col("id").alias("owner_id"))
     all_relations = all_inline = None
-    for _ in range(levels):
+    level, more = 0, True
+    while more and (levels is None or level < levels):
+        level += 1
         found = extract(current).join(current.select(F.col("id").alias("from_id"), "owner_id"), "from_id").withColumn("to_id", F.when(F.col("inline_text").isNotNull(), F.concat_ws("/", "from_id", F.col("ord").cast("string"))))
+        found = cut(found) if levels is None else found
         inline = found.where(F.col("inline_text").isNotNull()).select(F.col("to_id").alias("id"), F.col("inline_type").alias("type"), F.col("inline_text").alias("text"), "owner_id")
         relations = found.drop("inline_text")
         all_relations = relations if all_relations is None else all_relations.unionByName(relations)
         all_inline = inline if all_inline is None else all_inline.unionByName(inline)
-        current = inline
+        current, more = inline, levels is not None or not inline.isEmpty()
     return all_relations, all_inline
 
 

@@ -40,12 +40,24 @@ def extracted_hrefs(spark: SparkSession, sf: str) -> DataFrame:
     return found.where(F.col("href").isNotNull()).select("from_id", "type", "href").distinct()
 
 
+def extracted_hrefs_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct (id, type, href) of the same relations of all pages, whatever they hold; those in inline assets count for the
+    page around them. Regular expressions can't follow these, so there is no SQL."""
+    found, _ = with_inline(_texts(spark, sf, "Html"), levels=None)
+    return found.where(F.col("type").isin("HtmlAnchor", "HtmlImage", "HtmlStyle", "HtmlScript") & F.col("href").isNotNull()).select(F.col("owner_id").alias("from_id"), "type", "href").distinct()
+
+
 def css_urls(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct (id, href) of image and font urls in sheets without comments and strings."""
     sheets = _texts(spark, sf, "Css").where(~F.col("text").rlike(r"/\*|content\s*:|[<>=]{7}"))
     return extract(sheets, ["CssImage", "CssFontFaceSrc"]).select("from_id", "href").distinct()
 
 
+def css_urls_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct (id, href) of image and font urls in all sheets, with comments and strings; without SQL as above."""
+    return extract(_texts(spark, sf, "Css"), ["CssImage", "CssFontFaceSrc"]).select("from_id", "href").distinct()
+
+
 def resolved_targets(spark: SparkSession, sf: str) -> DataFrame:
     """How many extracted relations of each type resolve to an asset of the table."""
     assets = _texts(spark, sf, "Html", "Css", "JavaScript")
@@ -149,7 +161,7 @@ def srcset_fixture(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        extracted_relations, extracted_hrefs, css_urls, resolved_targets, crawl, inline_owners, charsets, pipeline, bundles, css_imports_to_styles, cache_manifest_entries, critical_css_fixture, inline_styles_fixture, facts, minified, stripped, gzipped, selector_counts, graph_drawing, odd_protocols, srcset_fixture,
+        extracted_relations, extracted_hrefs, extracted_hrefs_all, css_urls, css_urls_all, resolved_targets, crawl, inline_owners, charsets, pipeline, bundles, css_imports_to_styles, cache_manifest_entries, critical_css_fixture, inline_styles_fixture, facts, minified, stripped, gzipped, selector_counts, graph_drawing, odd_protocols, srcset_fixture,
     )
 }
 
