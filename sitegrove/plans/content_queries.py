@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrove.extract.operator import extract, resolved, with_inline
+from sitegrove.functions.content import content
 from sitegrove.functions.text import sniffed_charset, srcset_entries
 from sitegrove.graph import Graph
 from sitegrove.operators import styles as S
@@ -20,22 +21,30 @@ from sitegrove.sources.loaders import assets_from_rows, unsupported_protocols
 from sitegrove.sources.tables import holding, table
 
 
-def _texts(spark: SparkSession, sf: str, *types: str) -> DataFrame:
-    """id, type, text of the holding rows; only these types' texts are shuffled."""
+#: The types that relations are extracted from.
+SOURCES = ("Html", "Css", "JavaScript", "Svg", "Atom")
+
+
+def _texts(spark: SparkSession, sf: str, *types: str, decoded: bool = True) -> DataFrame:
+    """id, type, url, text of the holding rows; only these types' texts are shuffled.
+
+    Assets that aren't decoded yet give their raw content; not with `decoded=False`, for queries whose SQL knows the column
+    text only.
+    """
     assets = table(spark, sf, "assets")
-    text = F.when(F.col("type").isin(*types), F.col("text"))
+    text = F.when(F.col("type").isin(*types), content() if decoded else F.col("text"))
     return holding(assets.select("id", "ingested_at", "type", "url", text.alias("text")), "type", "url", "text")
 
 
 def extracted_relations(spark: SparkSession, sf: str) -> DataFrame:
     """All relations in the texts, inline assets included, counted by type."""
-    relations, _ = with_inline(_texts(spark, sf, "Html", "Css", "JavaScript", "Svg", "Atom"), levels=3)
+    relations, _ = with_inline(_texts(spark, sf, *SOURCES), levels=3)
     return relations.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("href").alias("with_href"))
 
 
 def extracted_hrefs(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct (id, type, href) of the plain attribute relations of complete pages."""
-    pages = _texts(spark, sf, "Html").where(F.col("text").rlike(r"(?i)</html>\s*$") & ~F.col("text").rlike(r"<!--|<svg|<noscript|<template|[<>=]{7}"))
+    pages = _texts(spark, sf, "Html", decoded=False).where(F.col("text").rlike(r"(?i)</html>\s*$") & ~F.col("text").rlike(r"<!--|<svg|<noscript|<template|[<>=]{7}"))
     found = extract(pages, ["HtmlAnchor", "HtmlImage", "HtmlStyle", "HtmlScript"])
     return found.where(F.col("href").isNotNull()).select("from_id", "type", "href").distinct()
 
@@ -49,7 +58,7 @@ def extracted_hrefs_all(spark: SparkSession, sf: str) -> DataFrame:
 
 def css_urls(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct (id, href) of image and font urls in sheets without comments and strings."""
-    sheets = _texts(spark, sf, "Css").where(~F.col("text").rlike(r"/\*|content\s*:|[<>=]{7}"))
+    sheets = _texts(spark, sf, "Css", decoded=False).where(~F.col("text").rlike(r"/\*|content\s*:|[<>=]{7}"))
     return extract(sheets, ["CssImage", "CssFontFaceSrc"]).select("from_id", "href").distinct()
 
 
@@ -60,14 +69,14 @@ def css_urls_all(spark: SparkSession, sf: str) -> DataFrame:
 
 def resolved_targets(spark: SparkSession, sf: str) -> DataFrame:
     """How many extracted relations of each type resolve to an asset of the table."""
-    assets = _texts(spark, sf, "Html", "Css", "JavaScript")
+    assets = _texts(spark, sf, *SOURCES)
     found = resolved(extract(assets), assets)
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("to_id").alias("resolved"))
 
 
 def crawl(spark: SparkSession, sf: str) -> DataFrame:
     """Urls loaded by a crawl from the initial pages over stylesheets, scripts and images."""
-    assets = holding(table(spark, sf, "assets"), "type", "url", "text", "is_initial").where(F.col("url").isNotNull())
+    assets = holding(table(spark, sf, "assets").withColumn("text", content()), "type", "url", "text", "is_initial").where(F.col("url").isNotNull())
     web = assets.groupBy("url").agg(F.min_by(F.struct("id", "type", "text"), "id").alias("x")).select("url", "x.*")
     bases = web.select("id", "url")
     starts = assets.where(F.col("is_initial") & (F.col("type") == "Html")).select("url")
@@ -122,7 +131,15 @@ def inline_styles_fixture(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    assets = _texts(spark, sf, "Html", "JavaScript", "Css", "Json")
+    return _facts(_texts(spark, sf, "Html", "JavaScript", "Css", "Json", decoded=False))
+
+
+def facts_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The same facts with contents that aren't decoded yet; the SQL of `facts` cannot decode, so there is none."""
+    return _facts(_texts(spark, sf, "Html", "JavaScript", "Css", "Json"))
+
+
+def _facts(assets: DataFrame) -> DataFrame:
     return asset_facts(assets).select("id", "is_inline", "is_image", "is_font", "is_text", "is_fragment", "is_strict", "is_pretty", "hostname")
 
 
@@ -161,7 +178,7 @@ def srcset_fixture(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        extracted_relations, extracted_hrefs, extracted_hrefs_all, css_urls, css_urls_all, resolved_targets, crawl, inline_owners, charsets, pipeline, bundles, css_imports_to_styles, cache_manifest_entries, critical_css_fixture, inline_styles_fixture, facts, minified, stripped, gzipped, selector_counts, graph_drawing, odd_protocols, srcset_fixture,
+        extracted_relations, extracted_hrefs, extracted_hrefs_all, css_urls, css_urls_all, resolved_targets, crawl, inline_owners, charsets, pipeline, bundles, css_imports_to_styles, cache_manifest_entries, critical_css_fixture, inline_styles_fixture, facts, facts_all, minified, stripped, gzipped, selector_counts, graph_drawing, odd_protocols, srcset_fixture,
     )
 }
 

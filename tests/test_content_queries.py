@@ -1,8 +1,10 @@
+import itertools
 import re
 from html.parser import HTMLParser
 
 import pytest
 from conftest import day
+from pyspark.sql import functions as F
 from test_graph import graph
 
 from sitegrove.plans import content_queries as C
@@ -39,15 +41,17 @@ class _Hrefs(HTMLParser):
 @pytest.fixture
 def folder(spark, tmp_path):
     """Writes rows (id, type, text, raw_src, encoding) as the assets of a folder of tables."""
+    numbers = itertools.count()
 
     def write(rows, relations=()):
+        path = f"{tmp_path}/{next(numbers)}"
         g = graph(spark, [{"id": i, "type": t} for i, t, *_ in rows], list(relations))
         assets = spark.createDataFrame([(*r, day(n)) for n, r in enumerate(rows)], "id string, type string, text string, raw_src binary, encoding string, ingested_at timestamp")
         missing = "site_id long, status_code int, file_name string, extension string, added_at timestamp, removed_at timestamp"
         own = g.assets.drop("type", "text", "raw_src", "props").selectExpr("*", *[f"cast(null as {t}) as {n}" for n, t in (m.split() for m in missing.split(", "))])
-        assets.join(own, "id").write.parquet(f"{tmp_path}/assets.parquet")
-        g.relations.selectExpr("*", "0L as site_id", "'http://h/' as base_url", "timestamp'2024-01-01' as seen_at", "timestamp'2024-01-01' as ingested_at").drop("in_head", "node_attrs").write.parquet(f"{tmp_path}/relations.parquet")
-        return str(tmp_path)
+        assets.join(own, "id").write.parquet(f"{path}/assets.parquet")
+        g.relations.selectExpr("*", "0L as site_id", "'http://h/' as base_url", "timestamp'2024-01-01' as seen_at", "timestamp'2024-01-01' as ingested_at").drop("in_head", "node_attrs").write.parquet(f"{path}/relations.parquet")
+        return path
 
     return write
 
@@ -57,3 +61,19 @@ def test_hrefs_and_urls_of_all_texts(spark, folder):
     assert {tuple(r) for r in C.extracted_hrefs_all(spark, sf).collect()} == {(i, *e) for i, page in PAGES.items() for e in _Hrefs(page).found}
     bare = {i: re.sub(r"(?s)/\*.*?\*/", "", t) for i, t in SHEETS.items()}  # urls in strings count, as in the reference's token pattern
     assert {tuple(r) for r in C.css_urls_all(spark, sf).collect()} == {(f"sheet {i}", u) for i, t in bare.items() for u in re.findall(r"url\('?([^')]*)", t)}
+
+
+def test_contents_that_are_not_decoded(spark, folder):
+    texts = {"p": ("Html", "<html><body><a href=q>é</a><a href=v>x</a><a href=d>x</a></body></html>"), "q": ("Html", "<p>ü"), "s": ("Css", "a,b{background:url(p)}"), "j": ("JavaScript", "'use strict';import 'p'"), "v": ("Svg", "<svg><image href='p'/></svg>"), "d": ("Atom", "<feed><link href='q'/></feed>")}
+    given = [(i, kind, text, None, None) for i, (kind, text) in texts.items()]
+    raw = [(i, kind, None, text.encode("utf-16"), "utf-16") for i, (kind, text) in texts.items()]
+    queries = (C.extracted_relations, C.resolved_targets, C.selector_counts, C.extracted_hrefs_all, C.css_urls_all, C.facts_all)
+    results = []
+    for rows in (given, raw):
+        sf = folder(rows)
+        results.append([{tuple(r) for r in q(spark, sf).collect()} for q in queries])
+        table = spark.read.parquet(f"{sf}/assets.parquet").withColumn("is_initial", F.col("id") == "p")
+        table.write.parquet(f"{sf}/initial/assets.parquet")
+        results[-1].append({tuple(r) for r in C.crawl(spark, f"{sf}/initial").collect()})
+    assert results[0] == results[1] and all(results[0])
+    assert {t for t, *_ in results[0][1]} >= {"SvgImage", "HtmlAnchor", "CssImage"} and ("j", "JavaScript") not in results[0][-1]
