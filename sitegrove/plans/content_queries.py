@@ -130,6 +130,26 @@ def inline_styles_fixture(spark: SparkSession, sf: str) -> DataFrame:
     return S.convert_stylesheets_to_inline_styles(_fixture(spark)).assets.select("id", "text")
 
 
+def _content_graph(spark: SparkSession, sf: str) -> Graph:
+    """The text graph, with the contents of assets that aren't decoded yet."""
+    graph = text_graph(spark, sf)
+    return graph.with_(assets=graph.assets.withColumn("text", content()))
+
+
+def _page_digests(graph: Graph) -> DataFrame:
+    return graph.assets.where((F.col("type") == "Html") & F.col("text").isNotNull()).select("id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+def critical_css(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages with their critical rules inlined."""
+    return _page_digests(S.inline_critical_css(_content_graph(spark, sf)))
+
+
+def inline_styles(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages with their sheets' rules in style attributes."""
+    return _page_digests(S.convert_stylesheets_to_inline_styles(_content_graph(spark, sf)))
+
+
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     return _facts(_texts(spark, sf, "Html", "JavaScript", "Css", "Json", decoded=False))
 
@@ -175,10 +195,18 @@ def srcset_fixture(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.inline(srcset_entries(F.col("text"))))
 
 
+def srcsets(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries of all srcsets: those in pages, at any depth, and assets of this type."""
+    assets = _texts(spark, sf, "Html", "SrcSet")
+    _, inline = with_inline(assets, levels=None)
+    whole = inline.select("id", "type", "text").unionByName(assets.select("id", "type", "text")).where((F.col("type") == "SrcSet") & F.col("text").isNotNull())
+    return whole.select("id", F.inline(srcset_entries(F.col("text"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        extracted_relations, extracted_hrefs, extracted_hrefs_all, css_urls, css_urls_all, resolved_targets, crawl, inline_owners, charsets, pipeline, bundles, css_imports_to_styles, cache_manifest_entries, critical_css_fixture, inline_styles_fixture, facts, facts_all, minified, stripped, gzipped, selector_counts, graph_drawing, odd_protocols, srcset_fixture,
+        extracted_relations, extracted_hrefs, extracted_hrefs_all, css_urls, css_urls_all, resolved_targets, crawl, inline_owners, charsets, pipeline, bundles, css_imports_to_styles, cache_manifest_entries, critical_css_fixture, critical_css, inline_styles_fixture, inline_styles, facts, facts_all, minified, stripped, gzipped, selector_counts, graph_drawing, odd_protocols, srcset_fixture, srcsets,
     )
 }
 

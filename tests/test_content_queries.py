@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import re
 from html.parser import HTMLParser
@@ -63,6 +64,24 @@ def test_hrefs_and_urls_of_all_texts(spark, folder):
     assert {tuple(r) for r in C.css_urls_all(spark, sf).collect()} == {(f"sheet {i}", u) for i, t in bare.items() for u in re.findall(r"url\('?([^')]*)", t)}
 
 
+def test_styles_and_srcsets_over_the_tables(spark, folder):
+    page = "<html><head></head><body><p class=x>a</p><link rel=stylesheet href=s><i>b</i><noscript><img srcset='a.png 1x, b.png 2x'></noscript></body></html>"
+    sheet = "p{color:red}.x{margin:0}i{top:0}"
+    rows = [("p", "Html", page, None, None), ("q", "Html", None, page.encode(), None), ("s", "Css", sheet, None, None), ("t", "Css", None, sheet.encode("utf-16"), "utf-16"), ("u", "Html", "<p>", None, None), ("z", "SrcSet", "c.png", None, None)]
+    sf = folder(rows, [{"from_id": "p", "to_id": "t", "type": "HtmlStyle"}, {"from_id": "q", "to_id": "s", "type": "HtmlStyle"}])
+
+    def digest(text):
+        return len(text), hashlib.md5(text.encode()).hexdigest()
+
+    critical = page.replace("</head>", "<style>p{color:red}.x{margin:0}</style></head>")
+    inlined = page.replace("class=x", 'class=x style="color: red; margin: 0"').replace("<i>", '<i style="top: 0">')
+    for query, expected in ((C.critical_css, critical), (C.inline_styles, inlined)):
+        assert {r.id: (r.chars, r.digest) for r in query(spark, sf).collect()} == {"p": digest(expected), "q": digest(expected), "u": digest("<p>")}
+    entries = [("a.png", "1x"), ("b.png", "2x")]
+    found = C.srcsets(spark, sf).collect()
+    assert sorted((r.id.split("/")[0], r.url, r.descriptors) for r in found) == [*[("p", *e) for e in entries], *[("q", *e) for e in entries], ("z", "c.png", "")]
+
+
 def test_contents_that_are_not_decoded(spark, folder):
     texts = {"p": ("Html", "<html><body><a href=q>é</a><a href=v>x</a><a href=d>x</a></body></html>"), "q": ("Html", "<p>ü"), "s": ("Css", "a,b{background:url(p)}"), "j": ("JavaScript", "'use strict';import 'p'"), "v": ("Svg", "<svg><image href='p'/></svg>"), "d": ("Atom", "<feed><link href='q'/></feed>")}
     given = [(i, kind, text, None, None) for i, (kind, text) in texts.items()]
