@@ -4,12 +4,13 @@ Three kinds of evidence are combined. (1) Placeholders left in running text: cod
 first. (2) Wording: blocks that say, in any of the listed languages, that a page is missing, that scripts or cookies are
 needed, or that only stand in for text. (3) The corpus: a document without terms of its own - none of its body's terms
 answers its address slug or title - whose body is, but for numbers and rare words, the body of documents of several
-hosts is a low-information response.
+hosts, or of a notable share of one host's documents, is a low-information response, however long it is.
 A document is residue by (2) and (3) only if nothing else is left of its body.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -26,6 +27,8 @@ from sitegrove.session import cut
 
 #: A body repeated in so many documents of so many hosts is a low-information response.
 REPEATED_DOCS, REPEATED_HOSTS = 5, 3
+#: On fewer hosts it must be in as many documents of one host, and in this share of them.
+REPEATED_SHARE = 0.01
 #: Longest block and sentence, in words, that may be a notice by its wording alone.
 NOTICE_WORDS, SENTENCE_WORDS = 60, 18
 
@@ -254,55 +257,70 @@ def kind_of(block: str, latin: float = 0.25) -> str:
     return ""
 
 
-FEATURES = StructType().add("doc_id", LongType()).add("host", StringType()).add("left", StringType()).add("junk", IntegerType()).add("own", IntegerType()).add("body", StringType()).add("mismatch", BooleanType())
+FEATURES = StructType().add("doc_id", LongType()).add("host", StringType()).add("left", StringType()).add("junk", IntegerType()).add("own", IntegerType()).add("body", StringType()).add("mismatch", BooleanType()).add("need", IntegerType())
 
 
 def features(doc_id: int, text: str, source: str | None, path: str | None) -> tuple:
     """What one document shows by itself: the placeholder left, the number of junk blocks, whether a block has content of
-    its own (the rest is then not looked at), and, if the whole is one short body, its skeleton."""
+    its own (the rest is then not judged), the skeleton of the whole body, code included, whether it lacks the terms of
+    the address, and how many documents must have it: 0 for a few plain blocks, else the number of its distinct terms, as
+    documents with more to say are copied too, but never so often."""
     unquoted = text.replace("\r\n", "\n")
     left = placeholder(text)
     kept = _FENCE.sub("\n", _INDENTED.sub("\n", unquoted)) if "```" in unquoted or "~~~" in unquoted or "    " in unquoted or "\t" in unquoted else unquoted
     own = int(len(kept.strip()) < len(unquoted.strip()) or bool(_LOG.search(unquoted)))
-    junk, syntax, body = 0, False, []
+    junk, judged, syntax, body = 0, True, False, []
     parts = blocks(kept)
     latin = 0.1 if _LOREM.search(kept) else 0.25  # beside a known filler less is enough
     for b in parts:
+        if not judged:
+            if not _CHROME.match(b) and (len(terms(b)) > 3 or re.search(r"[.!?。:]$", b)):
+                body.append(b)
+            continue
         kind = kind_of(b, latin)
         junk += kind in ("notice", "filler")
         own += kind in ("", "syntax")
-        syntax |= kind == "syntax"
         if kind != "chrome":
             body.append(b)
-        if own and (len(body) > 3 or len(parts) > 8):
-            break
-    short = 0 < len(body) <= 3 and len(parts) <= 8 and not (own and junk) and not syntax and len(kept.strip()) == len(unquoted.strip())
-    whole = " / ".join(body)
+        syntax |= kind == "syntax"
+        judged = not (own and (len(body) > 3 or len(parts) > 8))
+    plain = len(kept.strip()) == len(unquoted.strip())
+    whole = " / ".join(body) if plain else unquoted
+    brief = plain and len(body) <= 3 and len(parts) <= 8 and len(whole) <= 1000 and not (own and junk) and not syntax
     title = _TITLE.search(text)
     slug = re.split(r"[/.]", path)[-2] if path and "." in path else (path or "")
     address = {w for w in re.split(r"[\W\d_]+", f"{slug} {title.group(1) if title and own else ''}".lower()) if len(w) > 2}
     mismatch = not address & set(terms(whole))
-    return doc_id, source, left, junk, own, skeleton(whole) if short and len(whole) <= 1000 else None, mismatch
+    return doc_id, source, left, junk, own, skeleton(whole) if mismatch else None, mismatch, 0 if brief or not mismatch else len(set(terms(whole)))
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [features(*r) for r in zip(batch["doc_id"], batch["text"], batch["source"], batch["path"])]
-        yield pd.DataFrame(rows, columns=FEATURES.names)
+        out = pd.DataFrame(rows, columns=FEATURES.names)
+        out["body"] = [hashlib.md5(b.encode("utf-8", "surrogatepass")).hexdigest() if b else None for b in out["body"]]
+        yield out
 
 
-def residue(documents: DataFrame, repeated_docs: int = REPEATED_DOCS, repeated_hosts: int = REPEATED_HOSTS) -> DataFrame:
+def residue(documents: DataFrame, repeated_docs: int = REPEATED_DOCS, repeated_hosts: int = REPEATED_HOSTS, repeated_share: float = REPEATED_SHARE) -> DataFrame:
     """doc_id and reason ('placeholder', 'wording' or 'repeated response') of the documents to leave out.
 
-    The repeated bodies are counted with map-side combine and joined back by their hash; only documents that are one
-    short body take part, and only those whose body has no term of their address. Null texts and rows without doc_id give no row; an empty text
+    The repeated bodies are counted with map-side combine and joined back by their hash; all documents take part
+    whose body has no term of their address. A body on fewer hosts than `repeated_hosts` is repeated if it is the body of
+    `repeated_docs` documents and of `repeated_share` of all documents of one host. A body with more than a few plain blocks
+    needs as many documents as it has distinct terms. Null texts and rows without doc_id give no row; an empty text
     is no residue. Null sources count as one host. Repeated doc_ids are judged each.
     """
     kept = documents.select("doc_id", "text", "source", "path").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInPandas(_features, FEATURES)
-    key = F.when(F.col("body").isNotNull() & F.col("left").isNull() & (F.col("junk") == 0) & F.col("mismatch") & (F.length("body") > 0), F.md5("body"))
-    judged = cut(kept.select("doc_id", "host", "left", "junk", "own", key.alias("key")).where(F.col("left").isNotNull() | (F.col("own") == 0) | F.col("key").isNotNull()))
-    per_host = judged.where(F.col("key").isNotNull()).groupBy("key", "host").agg(F.count(F.lit(1)).alias("n"))
-    repeated = per_host.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts")).where((F.col("n") >= repeated_docs) & (F.col("hosts") >= repeated_hosts))
+    key = F.when(F.col("left").isNull() & ((F.col("own") > 0) | (F.col("junk") == 0)) & F.col("mismatch"), F.col("body"))
+    judged = cut(kept.select("doc_id", "host", "left", "junk", "own", "need", key.alias("key")).where(F.col("left").isNotNull() | (F.col("own") == 0) | F.col("key").isNotNull()))
+    per_host = judged.where(F.col("key").isNotNull()).groupBy("key", "host").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+    enough = per_host.groupBy("key").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.count(F.lit(1)).alias("hosts")).where((F.col("n") >= F.greatest(F.lit(repeated_docs), "need")))
+    often = judged.where(F.col("key").isNotNull()).groupBy("key", "host", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("key", "host").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= repeated_docs)
+    of_host = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("source").alias("_host")).agg(F.count_distinct("doc_id").alias("all"))
+    shared = often.join(of_host, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("docs") >= repeated_share * F.col("all"))
+    by_share = enough.where(F.col("hosts") < repeated_hosts).join(shared.select("key").distinct(), "key", "left_semi")
+    repeated = cut(enough.where(F.col("hosts") >= repeated_hosts).unionByName(by_share).select("key", "n"))
     hot = hot_keys(repeated, "key")
     again = spread(judged.where(F.col("key").isNotNull()), "key", F.col("doc_id"), hot).join(replicate(repeated.select("key"), "key", hot), ["key", "_part"], "left_semi")
     own = judged.where(F.col("left").isNotNull() | ((F.col("own") == 0) & (F.col("junk") > 0)))
