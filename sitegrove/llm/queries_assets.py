@@ -21,7 +21,7 @@ def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return garbled_records(table(spark, sf, "assets"), "site_id", "type", restore=False).select("id")
+    return garbled_records(table(spark, sf, "assets"), "site_id", "type").select("id")
 
 
 def p3_restored(spark: SparkSession, sf: str) -> DataFrame:

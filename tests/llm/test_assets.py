@@ -6,12 +6,12 @@ import pytest
 
 from sitegrove.llm.copies import collapse, format_copies, reduced
 from sitegrove.llm.grammars import accepts
-from sitegrove.llm.mojibake import WORD, garbled_records, misread_utf16
+from sitegrove.llm.mojibake import READ, WORD, WRITTEN, View, garbled_records, lost_letters, misread_utf16
 from sitegrove.llm.splitting import oversized_assets, split_files, split_texts
 from sitegrove.llm.unparsable import judge, parse_rates, parse_verdicts, ranking
 
 T0 = dt.datetime(2024, 1, 1)
-SCHEMA = "id string, type string, site_id int, text string, raw_src binary, encoding string, parse_tree array<struct<kind:string,start_char:int,end_char:int>>, ingested_at timestamp_ntz, v string, key string, n int"
+SCHEMA = "id string, type string, site_id int, text string, raw_src binary, encoding string, content_type string, parse_tree array<struct<kind:string,start_char:int,end_char:int>>, ingested_at timestamp_ntz, v string, key string, n int"
 
 
 def assets(spark, *rows):
@@ -179,3 +179,55 @@ def test_words_and_utf16():
     assert WORD.findall("a " + "b" * 100_000 + " Größe x\xa0y là\xa0l") == ["Größe", "là\xa0l"]
     assert misread_utf16("今回の更新で画像と書体を分けました") is None and misread_utf16("ひらがなだけのぶんしょう") is None
     assert misread_utf16("<!DOCTYPE html>\n<p>é".encode().decode("utf-16-le", "ignore")).startswith("<!DOCTYPE html>")
+
+
+def test_view_of_written_out_characters():
+    for text, shown in (("m&#195;&#169;moire &lt;b&gt;", "mÃ©moire &lt;b&gt;"), ("&amp;#xC3;&eacute;", "Ãé"), (r"caf\u00e9 \x41 \\u00e9", r"café \x41 \\u00e9"), ("can&#146;t", "can’t"), ("plain & simple \\ \\n", "plain & simple \\ \\n"), ("", "")):
+        view = View(text)
+        assert view.shown == shown
+        assert view.replaced({}) == text
+    assert View("a &#233; m&#195;&#169;moire&#33;").replaced({"mÃ©moire": "mémoire"}) == "a &#233; mémoire&#33;"
+    assert View("m&#195;&#169;m m&#195;&#169;m").replaced({"mÃ©m": "mém"}) == "mém mém"
+
+
+def test_lost_letters():
+    assert lost_letters("Gr??e", "Größe".encode("cp1252"), ("windows-1252", None))
+    assert lost_letters("Gr????e", "Größe".encode("utf-8"), ("nonsense", None))
+    assert not lost_letters("Wie?", b"Wie?", (None, None)) and not lost_letters("¿Qué? _", "¿Qué? _".encode("latin-1"), ("latin-1", None)) and not lost_letters("other?", "Größe".encode(), (None,))
+
+
+def test_garbling_hidden_in_ascii(spark):
+    rows = [{"id": f"c{i}", "type": "Html", "site_id": i % 5, "text": t} for i, t in enumerate(CLEAN * 40)]
+    garbled = CLEAN[1].encode().decode("latin-1")
+    refs = "".join(c if c.isascii() else f"&#{ord(c)};" for c in garbled)
+    rows += [{"id": "refs", "type": "Html", "text": f"<p>{refs}</p>"}, {"id": "json", "type": "Json", "text": json.dumps({"a": garbled})}]
+    rows += [{"id": "marks", "type": "Text", "text": CLEAN[0].encode("ascii", "replace").decode(), "raw_src": CLEAN[0].encode("cp1252"), "encoding": "windows-1252"}]
+    rows += [{"id": "seven", "type": "Text", "text": "Gr+APYA3w-e"}, {"id": "nul", "type": "Text", "text": "G\x00r\x00"}]
+    rows += [{"id": "fine1", "type": "Html", "text": "<p>modèle g&#233;n&#xE9;rique ic&ocirc;ne 1+2-3</p>"}, {"id": "fine2", "type": "Json", "text": json.dumps(CLEAN[5])}, {"id": "fine3", "type": "Text", "text": "Who? a_b", "raw_src": b"Who? a_b"}]
+    got = {r.id: r.restored for r in garbled_records(assets(spark, *rows), "site_id", "type").collect()}
+    assert set(got) == {"refs", "json", "marks", "seven", "nul"}
+    assert got["refs"] == f"<p>{CLEAN[1]}</p>" and json.loads(got["json"])["a"] == CLEAN[1] and got["marks"] == CLEAN[0]
+
+
+def test_recall_of_each_chain(spark):
+    """Texts garbled by every pair of writing and reading, each text once: nearly all are found, and no clean one is."""
+    rows = [{"id": f"c{i}", "type": "Text", "site_id": i % 5, "text": t} for i, t in enumerate(CLEAN * 200)]
+    planted = {}
+    for x in WRITTEN:
+        for y in READ:
+            for i, t in enumerate(CLEAN):
+                try:
+                    text = t.encode(x).decode(y)
+                    text.encode(y).decode(x)
+                except UnicodeError:
+                    continue
+                if text != t and text.isprintable() and not text.isascii() and text not in planted.values():
+                    planted[f"{x}|{y}|{i}"] = text
+    rows += [{"id": k, "type": "Text", "site_id": n % 5, "text": t} for n, (k, t) in enumerate(planted.items())]
+    got = {r.id for r in garbled_records(assets(spark, *rows), "site_id", "type").collect()}
+    assert not [k for k in got if k not in planted]
+    chains = {}
+    for k in planted:
+        chains.setdefault(k.rsplit("|", 1)[0], []).append(k in got)
+    print({c: sum(f) / len(f) for c, f in sorted(chains.items()) if not all(f)})
+    assert sum(map(sum, chains.values())) >= 0.95 * len(planted)
