@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitegrove.llm.copies import collapse, format_copies
 from sitegrove.llm.mojibake import garbled_records
-from sitegrove.llm.splitting import oversized_assets, split_texts
+from sitegrove.llm.splitting import oversized_assets, split_assets
 from sitegrove.llm.unparsable import parse_rates, parse_verdicts
 from sitegrove.sources.tables import table
 
@@ -28,16 +28,12 @@ def p3_restored(spark: SparkSession, sf: str) -> DataFrame:
     return garbled_records(table(spark, sf, "assets"), "site_id", "type")
 
 
-def _pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return split_texts(oversized_assets(table(spark, sf, "assets"), table(spark, sf, "size_limits")), "id")
-
-
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _pieces(spark, sf).select("id").distinct()
+    return oversized_assets(table(spark, sf, "assets"), table(spark, sf, "size_limits")).select("id")
 
 
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return _pieces(spark, sf)
+    return split_assets(table(spark, sf, "assets"), table(spark, sf, "size_limits"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

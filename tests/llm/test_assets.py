@@ -1,4 +1,5 @@
 import datetime as dt
+import io
 import json
 import random
 
@@ -7,7 +8,7 @@ import pytest
 from sitegrove.llm.copies import collapse, format_copies, reduced
 from sitegrove.llm.grammars import accepts
 from sitegrove.llm.mojibake import READ, WORD, WRITTEN, View, garbled_records, lost_letters, misread_utf16
-from sitegrove.llm.splitting import oversized_assets, split_files, split_texts
+from sitegrove.llm.splitting import boundaries, file_range, oversized_assets, split_assets, split_files, split_texts, text_ranges
 from sitegrove.llm.unparsable import judge, parse_rates, parse_verdicts, ranking
 
 T0 = dt.datetime(2024, 1, 1)
@@ -69,7 +70,7 @@ def test_pieces_are_the_content_again(spark):
     rng = random.Random(5)
     words = ["alpha", "βήτα", "{", "}\n", "\n\n", "; ", "x" * 90, "é" * 40, "\r\n", "<b>", "</b>\n", "。"]
     texts = ["".join(rng.choice(words) for _ in range(rng.randrange(1, 900))) for _ in range(12)] + ["", "y" * 5000, None]
-    for size, overlap in ((100, 0), (100, 50), (64, 10)):
+    for size, overlap in ((100, 0), (100, 50), (64, 10), (60, 45)):
         rows = [(str(i), t, size, overlap, [rng.randrange(0, 4000) for _ in range(20)] if i % 2 else None) for i, t in enumerate(texts)]
         df = spark.createDataFrame(rows, "id string, content string, max_size int, overlap int, node_ends array<int>")
         pieces = {}
@@ -89,15 +90,55 @@ def test_cuts_are_natural(spark):
     got = split_texts(df, "id").collect()
     assert {r.cut for r in got if r.id == "a"} == {"line", "end"}
     assert [r.cut for r in got if r.id == "b"] == ["hard", "end"]  # a node's end within a word is outdated
-    bad = spark.createDataFrame([("a", "x" * 99, 50, 40, None)], "id string, content string, max_size int, overlap int, node_ends array<int>")
-    with pytest.raises(Exception, match="overlap"):
-        split_texts(bad, "id").collect()
+    odd = spark.createDataFrame([("a", "abcde", 3, 9, None), ("b", "abcde", 0, 0, None), ("c", "abc", 2, None, []), ("d", "abc", None, 1, None), (None, "abc", 1, 0, None), ("e", "abc", 1, -3, [None, 1])], "id string, content string, max_size int, overlap int, node_ends array<int>")
+    got = {}
+    for r in split_texts(odd, "id").orderBy("id", "piece_no").collect():
+        got.setdefault(r.id, []).append(r.text)
+    assert got == {"a": ["abc", "bcd", "cde"], "c": ["ab", "c"], "e": ["a", "b", "c"]}
+
+
+def test_no_row_holds_a_giant_item(spark):
+    """The ranges of an item are bounded whatever its length, the boundary table holds no text, and prefix sums go by blocks."""
+    text = "".join(f"line {i}\n" for i in range(120_000))
+    rows = spark.createDataFrame([("a", text, None, None, 20, 3, None)], "id string, text string, raw binary, encoding string, max_size int, overlap int, node_ends array<int>")
+    ranges = text_ranges(rows, ["id"], 8).cache()
+    assert ranges.count() > 4096 and ranges.selectExpr("max(length(_left) + length(_body)) as n").first().n <= 9 * 20
+    table = boundaries(ranges, "id")
+    assert "string" not in {f.dataType.simpleString() for f in table.drop("id").schema}
+    from sitegrove.llm.splitting import emitted
+
+    got = emitted(ranges, table, "id").orderBy("piece_no").collect()
+    assert "".join(r.text[3 if k else 0 :] for k, r in enumerate(got)) == text and [r.piece_no for r in got] == list(range(len(got)))
+    ranges.unpersist()
+
+
+class Counting:
+    """A file that counts what is read of it."""
+
+    def __init__(self, data):
+        self.f, self.read_bytes = io.BytesIO(data), 0
+
+    def seek(self, at):
+        self.f.seek(at)
+
+    def read(self, n):
+        out = self.f.read(n)
+        self.read_bytes += len(out)
+        return out
+
+
+def test_bytes_read_of_a_range():
+    data = ("é日" * 200_000).encode()
+    f = Counting(data)
+    left, body, last = file_range(f, len(data), 7, 10_000, 100)
+    assert f.read_bytes < 10_000 + 4 * 100 + 20 and len(left) == 100 and not last
 
 
 def test_oversized_assets(spark):
     limits = spark.createDataFrame([("assets", "Text", 5, 1), ("documents", None, 3, 0), ("assets", "Html", None, None), (None, "Html", 1, 0)], "target_table string, type string, max_size int, overlap int")
     df = assets(spark, {"id": "a", "type": "Text", "text": "123456"}, {"id": "a", "type": "Text", "text": "123456"}, {"id": "b", "type": "Text", "text": "12345"}, {"id": "c", "type": "Html", "text": "1234567"}, {"id": "d", "type": "Text", "raw_src": "ééééééé".encode("utf-16-le"), "encoding": "utf-16le"}, {"id": "e", "type": "Text"}, {"id": "f", "type": "Text", "text": "1234567"}, {"id": "f", "type": "Text", "text": "1", "ingested_at": T0 + dt.timedelta(1)})
-    assert ids(split_texts(oversized_assets(df, limits), "id").select("id").distinct()) == ["a", "d"]
+    assert sorted((r.id, r.pieces, r.n_chars) for r in oversized_assets(df, limits).collect()) == [("a", 2, 6), ("d", 2, 7)]
+    assert sorted((r.id, r.piece_no, r.text) for r in split_assets(df, limits).collect()) == [("a", 0, "12345"), ("a", 1, "56"), ("d", 0, "ééééé"), ("d", 1, "ééé")]
     assert oversized_assets(df.limit(0), limits).count() == 0
 
 
