@@ -88,8 +88,8 @@ def test_leaks_against_brute_force(spark):
                 if any(tuple(x[k : k + 13]) in grams for k in range(len(x) - 12)):
                     expected.add((d, i))
     frame = spark.createDataFrame([(*x, "suite", 1) for x in items], "item_id int, passage string, question string, answer string, suite string, doc_id int")
-    for block in (20_000, 2):
-        got = leaked(docs(spark, *texts), frame, block_items=block).select("doc_id", "item_id").distinct().collect()
+    for size in (1 << 20, 300):
+        got = leaked(docs(spark, *texts), frame, index_bytes=size).select("doc_id", "item_id").distinct().collect()
         assert {(r.doc_id, r.item_id) for r in got} == expected
     assert leaked(docs(spark, *texts), frame.limit(0)).count() == 0 and leaked(docs(spark), frame).count() == 0
 
@@ -111,6 +111,21 @@ def test_block_max_wand_returns_all_above_threshold():
             assert {e for e, x in scores.items() if x > threshold + 1e-9} <= set(got) <= {e for e, x in scores.items() if x > threshold - 1e-9}
 
 
+def test_block_max_wand_skips():
+    """With a threshold as high as leaks have it, hardly any posting of the query's words is touched."""
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(400)]
+    index = Index([item(i, " ".join(vocabulary[int(rng.random() ** 2 * 400)] for _ in range(30))) for i in range(4000)])
+    passage = index.entries[1234][2][:20]
+    threshold = 0.9 * sum(index.lower[w] for w in set(passage))
+    total = sum(len(index.lists[w][0]) for w in set(passage))
+    index.touched = 0
+    assert 1234 in dict(index.retrieve(set(passage), threshold))
+    assert index.touched < 0.5 * total
+    index.touched = 0
+    assert index.retrieve(set(passage), 10 * threshold) == [] and index.touched <= len(passage)
+
+
 def test_nulls_in_items(spark):
     frame = spark.createDataFrame([(1, None, None, None), (2, " ".join(map(str, range(20))), None, None)], "item_id int, passage string, question string, answer string")
     assert [(r.doc_id, r.item_id, r.shared_words) for r in leaked(docs(spark, " ".join(map(str, range(3, 18)))), frame).collect()] == [(0, 2, 15)]
