@@ -1,11 +1,13 @@
 """Template residue and error-page text.
 
 Three kinds of evidence are combined. (1) Placeholders left in running text: code, quotations and log lines are set aside
-first. (2) Wording: blocks that say, in any of the listed languages, that a page is missing, that scripts or cookies are
-needed, or that only stand in for text. (3) The corpus: a document without terms of its own - none of its body's terms
-answers its address slug or title - whose body is, but for numbers and rare words, the body of documents of several
-hosts, or of a notable share of one host's documents, is a low-information response, however long it is.
-A document is residue by (2) and (3) only if nothing else is left of its body.
+first. (2) The corpus: a document none of whose body's terms answers its address slug or title says nothing of its own
+if each of its few sentences is, but for numbers and rare words, the whole of what documents of several hosts say, and
+hardly ever stands within documents that say more; or if its body, however long, is the body of documents of several
+hosts or of a notable share of one host's documents, and of as many documents as it has distinct terms. Sentences are
+counted over all documents, alone and within others, per host. (3) Wording: blocks that say, in any of the listed
+languages, that a page is missing, that scripts or cookies are needed, or that only stand in for text. Wording lets less
+evidence of hosts suffice; without any, it counts only if nothing else is left of the body.
 """
 
 from __future__ import annotations
@@ -14,13 +16,16 @@ import hashlib
 import html
 import json
 import re
+import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
 from sitegrove.operators.skew import hot_keys, replicate, spread
 from sitegrove.session import cut
@@ -29,6 +34,12 @@ from sitegrove.session import cut
 REPEATED_DOCS, REPEATED_HOSTS = 5, 3
 #: On fewer hosts it must be in as many documents of one host, and in this share of them.
 REPEATED_SHARE = 0.01
+#: Most sentences of a bare response, and terms up to which a sentence tells little (beyond, it must be the response of as
+#: many documents as it has terms); how many times more often a response stands alone than within more text; documents
+#: and hosts that suffice beside wording.
+RESPONSE_SENTENCES, LITTLE, DOMINANCE, THIN = 3, 20, 3, 2
+#: A term is rare below this number of documents, and below this share of them, which bounds the list of the others.
+RARE_DOCS, RARE_SHARE = 4, 2e-5
 #: Longest block and sentence, in words, that may be a notice by its wording alone.
 NOTICE_WORDS, SENTENCE_WORDS = 60, 18
 
@@ -75,7 +86,7 @@ _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
 _TICKS = re.compile(r"`+")
 _INDENTED = re.compile(r"(?:(?<=\n\n)|(?<=\r\n\r\n)|\A)(?:(?: {4}|\t)[^\n]*(?:\n|\Z))+")
 _ASIDE = re.compile(r"<(!--|script\b|style\b|template\b|code\b|pre\b|kbd\b|samp\b)", _I)
-_QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|«[^»\n]{1,200}»|„[^“”\n]{1,200}[“”]|「[^」\n]{1,200}」|(?<!\w)'[^'\n]{1,200}'(?!\w)")
+_QUOTED = re.compile(r"\"[^\"\n]+\"|“[^“”\n]+”|«[^«»\n]+»|„[^„“”\n]+[“”]|「[^「」\n]+」|(?<!\w)'[^'\n]+'(?!\w)")
 _LOG = re.compile(r"^(?:\[?\d{4}-\d\d-\d\d[T ])?\[?\d\d:\d\d:\d\d\b.*$|^\S+ - - \[.*$", re.M)
 _CITED = re.compile(r"^[ \t]*>.*$", re.M)
 _NAME = r"[A-Za-z_][\w-]*"
@@ -125,12 +136,15 @@ LATIN_FILLER = frozenset(
 )
 _SPACELESS = r"\u3040-\u30ff\u3400-\u9fff"
 _WORD = regex.compile(rf"[{_SPACELESS}]|[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{M}}\p{{N}}_'’]*[\p{{L}}\p{{N}}])?".replace("[\\p{L}\\p{N}_](", f"(?![{_SPACELESS}])[\\p{{L}}\\p{{N}}_]("))
+_PLAIN_WORD, _CJK = re.compile(r"\w+(?:['’]+\w+)*"), re.compile(f"[{_SPACELESS}]")
+#: The same words, without inner apostrophes, for Java.
+JAVA_WORD = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]|[\p{L}\p{N}_&&[^\x{3040}-\x{30ff}\x{3400}-\x{9fff}]]+"
 #: Lines that surround a body: navigation, status and credits, single titles.
 _CHROME = re.compile(r"^(?:[^|\n]{1,30}(?:\s\|\s[^|\n]{1,30})+|[^/\n]{1,30}(?:\s[/»›>]\s[^/\n]{1,30})+|(?:©|\(c\)|copyright\b|powered by\b|status\s*:|id\s|ref(?:erence)?\s*[.:#]|trace\s*:|request id|ray id|server\s*:)[^\n]{0,60}|[\w-]+/[\w.-]+|back|home|zurück|retour|volver|voltar|назад|wróć|zpět|πίσω|戻る)$", _I)
 _SYNTAX = re.compile(r"^\w+(?:\.\w+)*\(.*\)$|^\w+: \w+$|^\$ |^--|^[+\-*] .*\(#\d+\)$|^#+ \d+\.\d+")
 _LOREM = re.compile(r"^\W*lorem ipsum", _I | re.M)
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n|(?<=。)")
-_TITLE = re.compile(r"<title[^>]{0,200}>([^<]{0,500})</title>", _I)
+_TITLE = re.compile(r"<title[^<>]*>([^<]*)</title>", _I)
 _TAG = re.compile(r"<[^<>]*>")
 
 
@@ -166,9 +180,10 @@ def without_inline_code(text: str) -> str:
         pairs[i] = following.get(size, -1)
         following[size] = i
     out, at, i = [], 0, 0
+    paragraphs = [m.start() for m in re.finditer("\n\n", text)]
     while i < len(runs):
         j = pairs[i]
-        if j > 0 and "\n\n" not in text[runs[i].end() : min(runs[j].start(), runs[i].end() + 5000)] and runs[j].start() - runs[i].end() <= 5000:
+        if j > 0 and bisect_left(paragraphs, runs[i].end()) == bisect_left(paragraphs, runs[j].start()):
             out.append(text[at : runs[i].start()])
             at, i = runs[j].end(), j + 1
         else:
@@ -217,14 +232,19 @@ def blocks(text: str) -> list[str]:
 
 
 def terms(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    return _WORD.findall(text) if _CJK.search(text) else _PLAIN_WORD.findall(text)
 
 
-def skeleton(block: str) -> str:
-    """A block without numbers, identifiers and case, for comparison between documents."""
+def terms_of_skeleton(block: str) -> list[str]:
+    """The terms of a block without numbers, identifiers and case, for comparison between documents."""
     out = re.sub(r"\d+", "0", block.lower())
     out = re.sub(r"\(\w+\)|\b(?:ray|id|ref\w*|trace|référence|vorgang|referencia|referência|номер|kod|kód)\.?:? \w+|\b\w+\.(?:example|test|invalid|com|org|net)\b|/[\w./-]+", "*", out)
-    return " ".join(terms(out))
+    return terms(out)
+
+
+def skeleton(block: str) -> str:
+    return " ".join(terms_of_skeleton(block))
 
 
 def _brief(said: str, found: list[str]) -> bool:
@@ -257,14 +277,51 @@ def kind_of(block: str, latin: float = 0.25) -> str:
     return ""
 
 
-FEATURES = StructType().add("doc_id", LongType()).add("host", StringType()).add("left", StringType()).add("junk", IntegerType()).add("own", IntegerType()).add("body", StringType()).add("mismatch", BooleanType()).add("need", IntegerType())
+class Vocabulary:
+    """The terms that aren't rare, as a sorted array of hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.known: dict[str, bool] = {}
+
+    @staticmethod
+    def hash(term: str) -> int:
+        """The first 15 hexadecimal digits of the MD5."""
+        return int(hashlib.md5(term.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
+
+    def __contains__(self, term: str) -> bool:
+        found = self.known.get(term)
+        if found is None:
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            h = self.hash(term)
+            at = int(np.searchsorted(self.hashes, h))
+            found = self.known[term] = term == "0" or (at < len(self.hashes) and int(self.hashes[at]) == h)
+        return found
+
 
+def vocabulary(texts: DataFrame) -> np.ndarray:
+    """Hashes of the terms in at least RARE_DOCS documents and RARE_SHARE of all; there are at most as many of them as the
+    average number of distinct terms of a document over RARE_SHARE."""
+    least = max(RARE_DOCS, RARE_SHARE * texts.count())
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(JAVA_WORD), F.lit(0)))).alias("term"))
+    often = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return often.select(F.conv(F.substring(F.md5(F.encode("term", "utf-8")), 1, 15), 16, 10).cast("long").alias("h")).toPandas()["h"].to_numpy(dtype=np.int64)
 
-def features(doc_id: int, text: str, source: str | None, path: str | None) -> tuple:
+
+SENTENCES = ArrayType(StructType().add("s", LongType()).add("terms", IntegerType()))
+FEATURES = (
+    StructType().add("doc_id", LongType()).add("host", StringType()).add("left", StringType()).add("junk", IntegerType()).add("own", IntegerType()).add("body", StringType()).add("mismatch", BooleanType()).add("need", IntegerType())
+    .add("alone", BooleanType()).add("sentences", SENTENCES)
+)
+
+
+def features(doc_id: int, text: str, source: str | None, path: str | None, known: Vocabulary) -> tuple:
     """What one document shows by itself: the placeholder left, the number of junk blocks, whether a block has content of
-    its own (the rest is then not judged), the skeleton of the whole body, code included, whether it lacks the terms of
-    the address, and how many documents must have it: 0 for a few plain blocks, else the number of its distinct terms, as
-    documents with more to say are copied too, but never so often."""
+    its own (the rest is then not judged by wording), the skeleton of the whole body, code included, whether it lacks the
+    terms of the address, how many documents must have it (0 for a few plain blocks, else the number of its distinct
+    terms, as documents with more to say are copied too, but never so often), whether its sentences are all it says, and
+    the sentences, by the hash of their terms that aren't rare."""
     unquoted = text.replace("\r\n", "\n")
     left = placeholder(text)
     kept = _FENCE.sub("\n", _INDENTED.sub("\n", unquoted)) if "```" in unquoted or "~~~" in unquoted or "    " in unquoted or "\t" in unquoted else unquoted
@@ -290,39 +347,81 @@ def features(doc_id: int, text: str, source: str | None, path: str | None) -> tu
     title = _TITLE.search(text)
     slug = re.split(r"[/.]", path)[-2] if path and "." in path else (path or "")
     address = {w for w in re.split(r"[\W\d_]+", f"{slug} {title.group(1) if title and own else ''}".lower()) if len(w) > 2}
-    mismatch = not address & set(terms(whole))
-    return doc_id, source, left, junk, own, skeleton(whole) if mismatch else None, mismatch, 0 if brief or not mismatch else len(set(terms(whole)))
-
-
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [features(*r) for r in zip(batch["doc_id"], batch["text"], batch["source"], batch["path"])]
-        out = pd.DataFrame(rows, columns=FEATURES.names)
-        out["body"] = [hashlib.md5(b.encode("utf-8", "surrogatepass")).hexdigest() if b else None for b in out["body"]]
-        yield out
+    said = [terms_of_skeleton(x) for b in body for x in _SENTENCE.split(b)] if plain else []
+    mismatch = not address & {w for x in said for w in x} if plain else not address & set(terms(whole))
+    skeletons = [" ".join(x) for x in said] if plain else [skeleton(whole)]
+    whole_body = " / ".join(skeletons)
+    found: dict[int, int] = {}
+    for x in said:
+        often = [w for w in x if w in known]
+        if often:
+            found[Vocabulary.hash(" ".join(often))] = len(set(often))
+    alone = plain and mismatch and not syntax and 0 < len(found) <= RESPONSE_SENTENCES
+    need = 0 if brief or not mismatch else len({w for x in said for w in x} if plain else set(terms(whole)))
+    return doc_id, source, left, junk, own, whole_body if mismatch and whole_body else None, mismatch, need, alone, [{"s": h, "terms": n} for h, n in found.items()]
+
+
+_VOCABULARIES: dict[str, Vocabulary] = {}
+
+
+def _features(shared, token: str):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if token not in _VOCABULARIES:
+            _VOCABULARIES.clear()
+            _VOCABULARIES[token] = Vocabulary(shared.value)
+        known = _VOCABULARIES[token]
+        for batch in batches:
+            rows = [features(*r, known) for r in zip(batch["doc_id"], batch["text"], batch["source"], batch["path"])]
+            out = pd.DataFrame(rows, columns=FEATURES.names)
+            out["body"] = [hashlib.md5(b.encode("utf-8", "surrogatepass")).hexdigest() if b else None for b in out["body"]]
+            yield out
+
+    return work
+
+
+def responses(judged: DataFrame, docs: int, hosts: int) -> DataFrame:
+    """Sentences (s) that are responses: all that documents of several hosts say, and rarely part of more.
+
+    `strong` where documents and hosts are enough without wording. Counted per host first, with map-side combine.
+    """
+    alone = F.col("alone").cast("int")
+    rows = judged.where(F.col("left").isNull()).select("host", "alone", F.explode("sentences").alias("x")).select("host", "x.s", "x.terms", alone.alias("alone"))
+    per_host = rows.groupBy("s", "host").agg(F.sum("alone").alias("alone"), F.sum(1 - F.col("alone")).alias("within"), F.max("terms").alias("terms"))
+    sums = per_host.groupBy("s").agg(F.sum("alone").alias("n"), F.sum("within").alias("within"), F.count_if(F.col("alone") > 0).alias("hosts"), F.max("terms").alias("terms"))
+    need = F.greatest(F.lit(docs), F.when(F.col("terms") > LITTLE, F.col("terms")).otherwise(0))
+    kept = sums.where((F.col("n") >= THIN) & (F.col("hosts") >= THIN) & (F.col("n") > DOMINANCE * F.col("within")))
+    return kept.select("s", "n", ((F.col("n") >= need) & (F.col("hosts") >= hosts)).alias("strong"))
 
 
 def residue(documents: DataFrame, repeated_docs: int = REPEATED_DOCS, repeated_hosts: int = REPEATED_HOSTS, repeated_share: float = REPEATED_SHARE) -> DataFrame:
-    """doc_id and reason ('placeholder', 'wording' or 'repeated response') of the documents to leave out.
-
-    The repeated bodies are counted with map-side combine and joined back by their hash; all documents take part
-    whose body has no term of their address. A body on fewer hosts than `repeated_hosts` is repeated if it is the body of
-    `repeated_docs` documents and of `repeated_share` of all documents of one host. A body with more than a few plain blocks
-    needs as many documents as it has distinct terms. Null texts and rows without doc_id give no row; an empty text
-    is no residue. Null sources count as one host. Repeated doc_ids are judged each.
+    """doc_id and reason ('placeholder', 'repeated response' or 'wording') of the documents to leave out.
+
+    Repeated responses are found by their sentences and by their whole bodies; both are counted with map-side combine and
+    joined back by hash. All documents take part whose body has no term of their address. A body on fewer hosts than
+    `repeated_hosts` is repeated if it is the body of `repeated_docs` documents and of `repeated_share` of all documents of
+    one host. A body with more than a few plain blocks needs as many documents as it has distinct terms. A document may
+    have several reasons, one row each. Null texts and rows without doc_id give no row; an empty text is no residue. Null
+    sources count as one host. Repeated doc_ids are judged each.
     """
-    kept = documents.select("doc_id", "text", "source", "path").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInPandas(_features, FEATURES)
+    texts = documents.select("doc_id", "text", "source", "path").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary(texts))
+    kept = texts.mapInPandas(_features(shared, uuid.uuid4().hex), FEATURES)
     key = F.when(F.col("left").isNull() & ((F.col("own") > 0) | (F.col("junk") == 0)) & F.col("mismatch"), F.col("body"))
-    judged = cut(kept.select("doc_id", "host", "left", "junk", "own", "need", key.alias("key")).where(F.col("left").isNotNull() | (F.col("own") == 0) | F.col("key").isNotNull()))
+    judged = cut(kept.select("doc_id", "host", "left", "junk", "own", "need", key.alias("key"), "alone", "sentences"))
     per_host = judged.where(F.col("key").isNotNull()).groupBy("key", "host").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
     enough = per_host.groupBy("key").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.count(F.lit(1)).alias("hosts")).where((F.col("n") >= F.greatest(F.lit(repeated_docs), "need")))
     often = judged.where(F.col("key").isNotNull()).groupBy("key", "host", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("key", "host").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= repeated_docs)
-    of_host = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("source").alias("_host")).agg(F.count_distinct("doc_id").alias("all"))
-    shared = often.join(of_host, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("docs") >= repeated_share * F.col("all"))
-    by_share = enough.where(F.col("hosts") < repeated_hosts).join(shared.select("key").distinct(), "key", "left_semi")
+    of_host = texts.groupBy(F.col("source").alias("_host")).agg(F.count_distinct("doc_id").alias("all"))
+    shared_bodies = often.join(of_host, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("docs") >= repeated_share * F.col("all"))
+    by_share = enough.where(F.col("hosts") < repeated_hosts).join(shared_bodies.select("key").distinct(), "key", "left_semi")
     repeated = cut(enough.where(F.col("hosts") >= repeated_hosts).unionByName(by_share).select("key", "n"))
     hot = hot_keys(repeated, "key")
     again = spread(judged.where(F.col("key").isNotNull()), "key", F.col("doc_id"), hot).join(replicate(repeated.select("key"), "key", hot), ["key", "_part"], "left_semi")
-    own = judged.where(F.col("left").isNotNull() | ((F.col("own") == 0) & (F.col("junk") > 0)))
-    by_itself = own.select("doc_id", F.when(F.col("left").isNotNull(), "placeholder").otherwise("wording").alias("reason"))
-    return by_itself.unionByName(again.select("doc_id", F.lit("repeated response").alias("reason")))
+    said = cut(responses(judged, repeated_docs, repeated_hosts))
+    hot_said = hot_keys(said, "s")
+    worded = (F.col("own") == 0) & (F.col("junk") > 0)
+    bare = judged.where(F.col("alone") & F.col("left").isNull()).select("doc_id", worded.alias("worded"), F.xxhash64("sentences").alias("h"), F.size("sentences").alias("k"), F.explode("sentences.s").alias("s"))
+    met = spread(bare, "s", F.col("doc_id"), hot_said).join(replicate(said.select("s", "strong"), "s", hot_said), ["s", "_part"]).where(F.col("worded") | F.col("strong"))
+    by_sentences = met.groupBy("doc_id", "h", "k").agg(F.count_distinct("s").alias("n")).where(F.col("n") == F.col("k")).select("doc_id")
+    by_itself = judged.where(F.col("left").isNotNull() | worded).select("doc_id", F.when(F.col("left").isNotNull(), "placeholder").otherwise("wording").alias("reason"))
+    return by_itself.unionByName(again.select("doc_id").unionByName(by_sentences).distinct().withColumn("reason", F.lit("repeated response")))

@@ -1,11 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from sitegrove.llm.leaks import Index, leaked, words
 from sitegrove.llm.packing import SumOfSquares, containers, oversized_documents, pack_documents
-from sitegrove.llm.residue import features, placeholder, residue, running_text
+from sitegrove.llm.residue import Vocabulary, features, placeholder, residue, running_text
 
 DOCS = "doc_id long, text string, source string, path string, tokens int, n int"
 
@@ -151,8 +152,9 @@ CONTENT = ["# How to handle 404 errors\n\nIf the server says 404 Not Found, retr
 
 def test_residue(spark):
     frame = docs(spark, *RESIDUE, *CONTENT, None, *PLACEHOLDERS[:2])
-    got = {r.doc_id: r.reason for r in residue(frame).collect()}
-    assert {i for i, r in got.items() if r == "wording"} >= set(range(len(RESIDUE)))
+    rows = [(r.doc_id, r.reason) for r in residue(frame).collect()]
+    got = dict(rows)
+    assert {i for i, r in rows if r == "wording"} >= set(range(len(RESIDUE))) and len(set(rows)) == len(rows)
     n = len(RESIDUE)
     assert not set(got) & set(range(n, n + 5)) and n + len(CONTENT) not in got
     assert got[n + len(CONTENT) + 1] == got[n + len(CONTENT) + 2] == "placeholder"
@@ -167,9 +169,20 @@ def test_repeated_responses(spark):
     assert residue(frame.where("source = 'host1'")).count() == 0
 
 
+@pytest.mark.parametrize("within", [0, 8])
+def test_sentences_of_several_hosts(spark, within):
+    """Unlisted wording is found by its sentences, in whatever order and with whatever navigation, unless richer texts use it."""
+    said = ["The moon office has nothing for you here.", "Kindly return on another evening."]
+    rows = [(i, f"Home | Shop | Item {i}\n\n{said[i % 2]} {said[1 - i % 2]}\n\nref. q{'xyz'[i % 3]}{i}w", f"host{i % 4}", f"a/ticket-{i}.md") for i in range(8)]
+    rows += [(100 + i, " ".join([*said, "Tickets are sold at dusk.", f"A rider came for number {i}.", "Bring a lantern.", "The gate is low."]), f"host{i % 4}", "a/gate.md") for i in range(within)]
+    rows += [(200 + i, f"Bring {w} to the gate.", f"host{i % 4}", "a/gate.md") for i, w in enumerate(["bread", "a rope", "salt", "two coins", "nothing", "a dog"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, path string")
+    assert sorted((r.doc_id, r.reason) for r in residue(frame).collect()) == ([] if within else [(i, "repeated response") for i in range(8)])
+
+
 def test_long_texts_are_linear():
-    for text in ("`x " * 50_000, "<code> " * 50_000, "{{ " * 50_000, "(a " * 50_000):
-        features(1, text, None, None)
+    for text in ("`x " * 50_000, "`x\n\n" * 50_000, "\"x 'y " * 50_000, "<% x " * 50_000, "<code> " * 50_000, "{{ " * 50_000, "(a " * 50_000):
+        features(1, text, None, None, Vocabulary(np.array([], dtype=np.int64)))
     assert running_text("a ``b`c`` d `e") == "a   d `e"
 
 
