@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from sitegrove.llm.copies import collapse, format_copies, reduced
+from sitegrove.llm.copies import Canonical, collapse, format_copies, reduced
 from sitegrove.llm.grammars import accepts
 from sitegrove.llm.mojibake import READ, WORD, WRITTEN, View, garbled_records, lost_letters, misread_utf16
 from sitegrove.llm.splitting import boundaries, file_range, oversized_assets, split_assets, split_files, split_texts, text_ranges
@@ -187,6 +187,33 @@ def test_random_json_copies(spark):
     assert {(r.id, r.keeper, r.copies) for r in format_copies(df).collect()} == expected
 
 
+def test_nested_json_without_recursion():
+    """The parser with its own stack gives the fields that the recursive one gives, and refuses what it refuses."""
+    rng = random.Random(9)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 5)
+        return [rng.randrange(-3, 3), "a B\n", rng.choice([None, True, False, 1.5e10, -0.0]), "", {}, [value(depth - 1) for _ in range(rng.randrange(4))] if depth else 0, {rng.choice("xyX") + str(i % 2): value(depth - 1) for i in range(rng.randrange(4))} if depth else 0][kind]
+
+    for _ in range(400):
+        text = json.dumps(value(4), indent=rng.choice([None, 1]))
+        assert sorted(Canonical().nested(text)) == sorted(Canonical().members(text)), text
+        broken = text[: rng.randrange(len(text))] + rng.choice(["", ",", "}", "]", ":", "x"])
+        try:
+            json.loads(broken, parse_constant=lambda c: 1 / 0)
+        except (ValueError, ZeroDivisionError):
+            with pytest.raises(ValueError):
+                Canonical().nested(broken)
+        else:
+            Canonical().nested(broken)
+
+
+def test_deep_json_copies(spark):
+    deep = lambda inner: '{"a":' * 30_000 + inner + "}" * 30_000
+    rows = [{"id": "a", "text": deep('{"x":1,"y":2}')}, {"id": "b", "text": deep('{"y": 2, "X": 1}')}, {"id": "c", "text": deep('{"x":2,"y":1}')}]
+    assert [(r.id, r.keeper) for r in format_copies(assets(spark, *[r | {"type": "Json"} for r in rows])).orderBy("id").collect()] == [("a", "a"), ("b", "a")]
+
+
 CLEAN = ["Größe über alle Menüs für Schlüssel", "Le modèle générique relie la clé à l'icône", "Příští měsíc přesuneme úložiště k písmo", "Проверьте, нужен ли заголовок и таблица стилей", "La compilación añadió la versión pequeña", "今回の更新で画像と書体を分けました", "A função não depende do botão até você vê-la"]
 
 
