@@ -27,6 +27,9 @@ _BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA
 _OCTAL_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:0[0-9]|[1-9])")
 _UNICODE_ESCAPE = re.compile(r"\\u(?:\{([0-9a-fA-F]+)\}|([0-9a-fA-F]{4}))")
 
+#: Most frames of the parser that one character can open.
+FRAMES = 40
+
 # Token types
 NAME, STRING, PUNCTUATOR, NUMBER, PRIVATE, REGEX, END = range(7)
 #: Reserved words, words reserved in strict code, assignment operators and binary precedences of ECMAScript.
@@ -58,10 +61,10 @@ class _Scope:
 
 
 def accepts_javascript(text: str) -> bool:
-    """Whether `text` is a script or a module of ECMAScript 2022. Nesting of some ten thousand levels is followed; a text
-    that is nested deeper is not judged further and counts as accepted."""
+    """Whether `text` is a script or a module of ECMAScript 2022. Nesting of any depth is followed: Python's own frames live
+    on the heap, about 2.5 KB a level, so the limit on their number is set beyond what the text can need."""
     limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 200_000))
+    sys.setrecursionlimit(max(limit, 10_000 + FRAMES * len(text)))
     try:
         for module in (False, True):
             try:
@@ -70,8 +73,6 @@ def accepts_javascript(text: str) -> bool:
             except Bad:
                 if not module and not re.search(r"\b(?:import|export|await)\b", text):
                     return False
-            except RecursionError:
-                return True
         return False
     finally:
         sys.setrecursionlimit(limit)
@@ -82,6 +83,7 @@ class Parser:
         self.s, self.n, self.module, self.strict = text, len(text), module, module
         self.asyncs = module  # await is an operator here
         self.generator = self.function = False
+        self.no_suspending = False  # within parameters and static blocks: no yield, no await
         self.loop = self.switch = 0
         self.labels: list[tuple[str, bool]] = []
         self.method = self.constructor = False  # super.x, super()
@@ -489,7 +491,7 @@ class Parser:
         self.next()
         waiting = False
         if self.word("await"):
-            if not self.asyncs:
+            if not self.asyncs or self.no_suspending:
                 raise Bad
             waiting = True
             self.next()
@@ -816,7 +818,8 @@ class Parser:
 
     def function_rest(self, is_async: bool, generator: bool, name: str | None = None, method: bool = False, constructor: bool = False, arity: int | None = None) -> None:
         """Parameters and body of a function that isn't an arrow."""
-        kept = self.asyncs, self.generator, self.function, self.loop, self.switch, self.labels, self.method, self.constructor, self.new_target, self.field, self.strict, self.no_in
+        kept = self.asyncs, self.generator, self.function, self.loop, self.switch, self.labels, self.method, self.constructor, self.new_target, self.field, self.strict, self.no_in, self.no_suspending
+        self.no_suspending = True
         self.asyncs, self.generator, self.function, self.loop, self.switch, self.labels = is_async, generator, True, 0, 0, []
         self.method, self.constructor, self.new_target, self.field, self.no_in = method, constructor, True, False, False
         self.need("(")
@@ -839,9 +842,10 @@ class Parser:
                 self.need(",")
         if arity is not None and (count != arity or (arity == 1 and rest)):
             raise Bad
+        self.no_suspending = False
         self.need_body(names, simple, method, name)
         strict = self.strict
-        (self.asyncs, self.generator, self.function, self.loop, self.switch, self.labels, self.method, self.constructor, self.new_target, self.field, self.strict, self.no_in) = kept
+        (self.asyncs, self.generator, self.function, self.loop, self.switch, self.labels, self.method, self.constructor, self.new_target, self.field, self.strict, self.no_in, self.no_suspending) = kept
         self.after_body(strict)
 
     def need_body(self, names: list[str], simple: bool, unique: bool, name: str | None = None, arrow: bool = False) -> None:
@@ -954,8 +958,8 @@ class Parser:
         return False
 
     def static_block(self) -> None:
-        kept = self.field, self.method, self.new_target, self.asyncs, self.generator, self.constructor, self.function, self.loop, self.switch, self.labels
-        self.field, self.method, self.new_target, self.asyncs, self.generator, self.constructor, self.function, self.loop, self.switch, self.labels = True, True, True, False, False, False, False, 0, 0, []
+        kept = self.field, self.method, self.new_target, self.asyncs, self.generator, self.constructor, self.function, self.loop, self.switch, self.labels, self.no_suspending
+        self.field, self.method, self.new_target, self.asyncs, self.generator, self.constructor, self.function, self.loop, self.switch, self.labels, self.no_suspending = True, True, True, True, False, False, False, 0, 0, [], True
         self.need("{")
         self.scopes.append(_Scope(True))
         while not self.is_("}"):
@@ -963,7 +967,7 @@ class Parser:
                 raise Bad
             self.item()
         self.scopes.pop()
-        self.field, self.method, self.new_target, self.asyncs, self.generator, self.constructor, self.function, self.loop, self.switch, self.labels = kept
+        self.field, self.method, self.new_target, self.asyncs, self.generator, self.constructor, self.function, self.loop, self.switch, self.labels, self.no_suspending = kept
         self.next()
 
     def property_name(self, private: bool = False) -> str | None:
@@ -1006,6 +1010,8 @@ class Parser:
         if self.t == NAME and not self.escaped:
             v = self.v
             if v == "yield" and self.generator:
+                if self.no_suspending:
+                    raise Bad
                 self.yield_()
                 return LOW
             if v == "async":
@@ -1068,14 +1074,15 @@ class Parser:
         """`=>` and the body."""
         if len(set(names)) < len(names):
             raise Bad
-        kept = self.asyncs, self.generator, self.function, self.loop, self.switch, self.labels, self.strict, self.no_in
+        kept = self.asyncs, self.generator, self.function, self.loop, self.switch, self.labels, self.strict, self.no_in, self.no_suspending
         no_in = self.no_in
         self.asyncs, self.generator = is_async or (self.asyncs and self.module and not self.function and is_async), False
+        self.no_suspending = False
         self.next()
         if self.is_("{"):
             self.function, self.loop, self.switch, self.labels, self.no_in = True, 0, 0, [], False
             self.need_body(names, simple, True, arrow=True)
-            self.asyncs, self.generator, self.function, self.loop, self.switch, self.labels, self.strict, self.no_in = kept
+            self.asyncs, self.generator, self.function, self.loop, self.switch, self.labels, self.strict, self.no_in, self.no_suspending = kept
             self.next()
         else:
             self.scopes.append(_Scope(True, set(names)))
@@ -1085,7 +1092,7 @@ class Parser:
             self.no_in = no_in
             self.assignment_pure()
             self.scopes.pop()
-            self.asyncs, self.generator, self.function, self.loop, self.switch, self.labels, self.strict, self.no_in = kept
+            self.asyncs, self.generator, self.function, self.loop, self.switch, self.labels, self.strict, self.no_in, self.no_suspending = kept
 
     def conditional(self) -> int:
         flags = self.binary(0)
@@ -1163,6 +1170,8 @@ class Parser:
                     raise Bad
                 return UNARY
             if v == "await" and self.asyncs:
+                if self.no_suspending:
+                    raise Bad
                 self.next()
                 if self.unary() & (COVER | LOW):
                     raise Bad

@@ -31,7 +31,7 @@ VALID = {
     "Xml": ["<a/>", "<?xml version='1.0' encoding='utf-16'?><!DOCTYPE a><a b='c'><![CDATA[<]]>&amp;<!-- x --></a>", "<x:a/>"],
 }
 INVALID = {
-    "JavaScript": ["a b", "let a;let a", "return", "'x", "`${a", "/(/", "f(", "class A{m(){this.#y}}", "a=>{}()", "({a=1})", "export{x}", "<<<<<<< HEAD\na\n=======", "{\"a\":1}", "a{b:c}", "break", "for(let x of a,b);", "function f(){", "var a = ;", "1_", "<a></a>", "let x: number = 1"],
+    "JavaScript": ["a b", "let a;let a", "return", "'x", "`${a", "/(/", "f(", "class A{m(){this.#y}}", "a=>{}()", "({a=1})", "export{x}", "<<<<<<< HEAD\na\n=======", "{\"a\":1}", "a{b:c}", "break", "for(let x of a,b);", "function f(){", "var a = ;", "1_", "<a></a>", "let x: number = 1", "function*g(a=yield){}", "async function f(a=await 1){}", "class A{static{await 1}}", "class A{static{for await(a of b);}}", "({async*m(a=yield){}})"],
     "Css": ["a{", "a{b}", "a{b:}", "{}", "a{b:c}}", "/* x", "a{b:'c}", "a,{b:c}", "a > {b:c}", "a{b:c d:e}", ".1{a:b}", "a[b{c:d}", "@import;", "@media x{a{b:c}", "<<<<<<< HEAD\na{b:c}", "$a: b;", "// x\na{b:c}", "a{b:url(c d)}", "@keyframes k{x{a:b}}", "a::{b:c}", "a{b:c!ie}"],
     "Json": ["", "{a:1}", "[1,]", "'a'", '{"a":1', "NaN", "01", "[1]x", '"\t"', "﻿1"],
     "Xml": ["", "<a>", "<a b=c/>", "<a/><b/>", "<a>&nbsp;</a>", "<A></a>", "text"],
@@ -47,6 +47,7 @@ def test_grammars(name):
 def test_deep_and_long_texts():
     n = 30_000
     assert accepts["JavaScript"]("(" * n + "1" + ")" * n) and accepts["Json"]("[" * n + "]" * n) and not accepts["Json"]("[" * n + "]" * (n - 1) + "}")
+    assert not accepts["JavaScript"]("(" * 2 * n) and not accepts["Css"]("a{" * 5 * n) and accepts["Css"]("a{" * n + "}" * n) and accepts["JavaScript"]("a?b:" * n + "!" * n + "c")
     assert accepts["Css"]("a{" + "b:c;" * n + "}") and not accepts["Css"]("a{" + "b:c;" * n)
 
 
