@@ -123,6 +123,38 @@ def url_identity(url: pd.Series) -> pd.Series:
     return pd.Series([web_identity(u)[0] for u in url], dtype=object)
 
 
+#: Urls and hrefs whose identity needs no parsing: lower-case host, no port, no user, no escapes; `_DOTS` must not match.
+_PLAIN_URL = r"^https?://[a-z0-9.\-]+(?:/[^%#]*|\?[^%#]*)?(?:#[\s\S]*)?$"
+_PLAIN_HOST = r"^https?://([a-z0-9.\-]+)(?=[/?#]|$)"
+_PLAIN_PATH = r"^(?!//)[^%#?:]+(?:\?[^%#]*)?(?:#[\s\S]*)?$"
+_DOTS = r"(?:^|/)\.{1,2}(?:[/?#]|$)"
+_OTHER_SCHEME = r"^(?!(?i:https?):)[A-Za-z][A-Za-z0-9+.\-]*:"
+_EDGES = r"^[\t\n\r\f\x0B ]+|[\t\n\r\f\x0B ]+$"
+
+
+def identity(href: Column, base: Column) -> Column:
+    """As resolved_identity; the usual spellings stay native, and Python gets only the others.
+
+    Native are absolute urls, paths against a base and hrefs of other schemes, as long as nothing in them has to be
+    decoded, lowered or taken out.
+    """
+    h, b = F.regexp_replace(href, _EDGES, ""), F.regexp_replace(base, _EDGES, "")
+    bare = F.regexp_replace(h, r"#[\s\S]*$", "")
+    directory_ = F.regexp_extract(F.regexp_replace(b, r"[?#][\s\S]*$", ""), r"^(https?://[^/]+/(?:[\s\S]*/)?)", 1)
+    plain = h.rlike(_PLAIN_PATH) & ~h.rlike(_DOTS) & b.rlike(_PLAIN_HOST)
+    own, root = h.rlike(_PLAIN_URL) & ~F.regexp_replace(h, r"^https?:/", "").rlike(_DOTS), h.startswith("/")
+    beside = (directory_ != "") & ~F.contains(directory_, F.lit("%")) & ~F.regexp_replace(directory_, r"^https?:/", "").rlike(_DOTS)
+    host_of_base = F.regexp_extract(b, _PLAIN_HOST, 1)
+    native = (
+        F.when(own, F.struct(bare.alias("url"), F.regexp_extract(h, _PLAIN_HOST, 1).alias("host")))
+        .when(plain & root, F.struct(F.concat(F.regexp_extract(b, r"^(https?://[^/?#]+)", 1), bare).alias("url"), host_of_base.alias("host")))
+        .when(plain & ~root & beside, F.struct(F.concat(directory_, bare).alias("url"), host_of_base.alias("host")))
+        .when(h.rlike(_OTHER_SCHEME), F.struct(F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("host")))
+    )
+    rest = native.isNull()
+    return F.coalesce(native, resolved_identity(F.when(rest, href), F.when(rest, base)))
+
+
 @F.pandas_udf(StringType())
 def resolve_url(href: pd.Series, base: pd.Series) -> pd.Series:
     """RFC 3986 resolution; null where either has no scheme to give."""

@@ -7,7 +7,8 @@ Plan: the references are reduced to distinct non-null keys with their first and
 that holds a third of all rows leaves each task as one row). A left anti-join of these with the parent keys leaves the
 keys that no single parent covers over the whole span: missing parents, and those that came later or were removed
 earlier. Only references with such keys are joined back, and tested one by one by a second anti-join on key and time.
-The few heaviest keys are spread over parts in the join back.
+References by id and by url go through together; they and the doubtful keys are written once. The heaviest keys are
+spread over parts in the join back.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrove.functions.urls import resolved_identity, url_identity
+from sitegrove.functions.urls import identity
 from sitegrove.operators.skew import HOT_ROWS, hot_keys, replicate, spread
+from sitegrove.session import cut
 from sitegrove.sources.tables import holding
 
 REFERENCE = ("table_name", "record_id", "field_name", "key", "at")
@@ -35,6 +37,7 @@ def dangling(references: DataFrame, parents: DataFrame, hot_rows: int = HOT_ROWS
     keys = refs.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n"), F.count("at").alias("timed"))
     cover = spans.select(F.col("key").alias("_key"), F.col("added_at").alias("_from"), F.col("removed_at").alias("_to"))
     suspects = keys.join(cover, (F.col("key") == F.col("_key")) & (F.col("_from") <= F.col("lo")) & (F.col("_to").isNull() | (F.col("hi") < F.col("_to"))) & (F.col("n") == F.col("timed")), "left_anti")
+    suspects = cut(suspects.select("key", "n"))
     hot = hot_keys(suspects, "key", hot_rows=hot_rows)
     spread_refs = spread(refs, "key", F.col("record_id"), hot)
     spread_suspects = replicate(suspects.select("key"), "key", hot)
@@ -68,23 +71,33 @@ def href_references(relations: DataFrame, assets: DataFrame, sites: DataFrame, h
     urls = replicate(assets.where(F.col("url").isNotNull()).select(F.col("id").alias("from_id"), F.col("url").alias("base_url")), "from_id", hot)
     based = spread(without, "from_id", F.col("id"), hot).join(urls, ["from_id", "_part"], "left").drop("_part")
     all_hrefs = kept.where(~needs).unionByName(based)
-    found = all_hrefs.select("id", "seen_at", resolved_identity("href", "base_url").alias("r")).where(F.col("r.url").isNotNull())
+    found = all_hrefs.select("id", "seen_at", identity(F.col("href"), F.col("base_url")).alias("r")).where(F.col("r.url").isNotNull())
     hosts = sites.select(F.lower("host").alias("_host")).where(F.col("_host").isNotNull()).distinct()
     refs = found.select("id", "seen_at", F.col("r.url").alias("key"), F.col("r.host").alias("_host")).join(hosts, "_host", "left_semi")
     return refs.select(F.lit("relations").alias("table_name"), F.col("id").alias("record_id"), F.lit("href").alias("field_name"), "key", F.col("seen_at").alias("at"))
 
 
+def all_references(assets: DataFrame, relations: DataFrame, diagnostics: DataFrame, sites: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The references of both tables, written once, and the parents they may have. Keys are ids after a `#`, or urls."""
+    kept = holding(assets, "url", "added_at", "removed_at")
+    by_id = id_references(relations, diagnostics).withColumn("key", F.concat(F.lit("#"), "key"))
+    refs = cut(by_id.unionByName(href_references(relations, kept, sites, hot_rows)))
+    ids = kept.select(F.concat(F.lit("#"), "id").alias("key"), "added_at", "removed_at")
+    urls = kept.where(F.col("url").isNotNull()).select(identity(F.col("url"), F.lit(None).cast("string"))["url"].alias("key"), "added_at", "removed_at")
+    return refs, ids.unionByName(urls)
+
+
 def dangling_references(assets: DataFrame, relations: DataFrame, diagnostics: DataFrame, sites: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every reference of relations and diagnostics to no asset alive then: REFERENCE columns, one row each."""
-    kept = holding(assets, "url", "added_at", "removed_at")
-    ids = kept.select(F.col("id").alias("key"), "added_at", "removed_at")
-    urls = kept.where(F.col("url").isNotNull()).select(url_identity("url").alias("key"), "added_at", "removed_at")
-    by_id = dangling(id_references(relations, diagnostics), ids, hot_rows)
-    by_href = dangling(href_references(relations, kept, sites, hot_rows), urls, hot_rows)
-    return by_id.unionByName(by_href)
+    refs, parents = all_references(assets, relations, diagnostics, sites, hot_rows)
+    return dangling(refs, parents, hot_rows).withColumn("key", F.regexp_replace("key", "^#", ""))
 
 
-def dangling_report(found: DataFrame) -> DataFrame:
-    """Counts of dangling references per table, field and month (null where the time is null)."""
+def dangling_report(found: DataFrame, references: DataFrame) -> DataFrame:
+    """Per table, field and month (null where the time is null) with any: dangling references, their keys, all references, and
+    the rate."""
     month = F.date_format("at", "yyyy-MM").alias("month")
-    return found.groupBy("table_name", "field_name", month).agg(F.count(F.lit(1)).alias("dangling"), F.countDistinct("key").alias("keys"))
+    counts = found.groupBy("table_name", "field_name", month).agg(F.count(F.lit(1)).alias("dangling"), F.countDistinct("key").alias("keys"))
+    totals = references.groupBy(F.col("table_name").alias("_t"), F.col("field_name").alias("_f"), month.alias("_m")).agg(F.count(F.lit(1)).alias("total"))
+    same = (F.col("table_name") == F.col("_t")) & (F.col("field_name") == F.col("_f")) & F.col("month").eqNullSafe(F.col("_m"))
+    return counts.join(totals, same).select("table_name", "field_name", "month", "dangling", "keys", "total", F.round(F.col("dangling") / F.col("total"), 6).alias("rate"))

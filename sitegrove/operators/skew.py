@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most keys that are ever treated as hot; with the counts sorted, every other key has under 1 / HOT_KEYS of all rows.
-HOT_KEYS = 256
+#: Most keys that are ever treated as hot; with the counts sorted, every other key has under 1 / HOT_KEYS of all rows, less
+#: than a task's share on a thousand executors.
+HOT_KEYS = 4096
 #: Rows from which a key is worth spreading, and the number of parts.
 HOT_ROWS = 200_000
 PARTS = 32

@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 def cut(df: DataFrame) -> DataFrame:
     """`df` without its lineage, kept in the shared folder of spark.checkpoint.dir so that a lost executor costs nothing.
 
-    Only where the session names no such folder and none was set (a local test) a temporary one is made.
+    Where the session names no such folder and none was set, a temporary one is made for local masters, whose executors are the
+    driver; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sitegrove-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sitegrove-"))
     return df.checkpoint(eager=True)
 
 

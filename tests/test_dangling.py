@@ -49,5 +49,6 @@ def test_random_against_brute_force_with_hot_keys(spark):
     expected = {r[1] for r in refs if not any(k == r[3] and r[4] is not None and a <= r[4] and (b is None or r[4] < b) for k, a, b in parents)}
     rows = [r["record_id"] for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == expected
-    report = dangling_report(got)
+    report = dangling_report(got, spark.createDataFrame(refs, "table_name string, record_id string, field_name string, key string, at timestamp_ntz"))
     assert report.agg(F.sum("dangling")).first()[0] == len(expected)
+    assert {(r.month, r.total, round(r.dangling / r.total, 6) == r.rate) for r in report.collect()} == {(m, sum(1 for r in refs if (r[4] and r[4].strftime("%Y-%m")) == m), True) for m in {r[4] and r[4].strftime("%Y-%m") for r in refs if r[1] in expected}}

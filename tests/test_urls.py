@@ -1,3 +1,4 @@
+import random
 from urllib.parse import urljoin
 
 import pytest
@@ -73,3 +74,13 @@ def test_built_hrefs_resolve_back(to, base, kind, href):
 def test_encoding_and_fragments(spark):
     row = spark.createDataFrame([("/für a%20",)], "u string").select(U.percent_encoded(F.col("u")), U.with_fragment(F.lit("a#b"), F.lit("#c")), U.with_fragment(F.lit("a"), F.lit("c"))).first()
     assert tuple(row) == ("/f%C3%BCr%20a%20", "a#c", None)
+
+
+def test_native_identity_agrees_with_parsing(spark):
+    rng = random.Random(4)
+    bits = ["http:", "https:", "HTTP:", "mailto:", "//", "/", "h.example", "H.example", "u@h", ":80", ":81", "a", "é", "b.c", ".", "..", "%41", "%ff", "?", "#", "?x=/../y", " ", ":", ";", "\n"]
+    bases = ["https://h.example/x/y.html?a#b", "http://h.example", "http://H.example/", "https://h.example/a/../b/", "https://h.example/a%41/b", "https://h.example:8/a/", "https://h.example/q?/z/", "/relative", "", None, " https://h.example/a/b "]
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randrange(1, 7))), rng.choice(bases)) for _ in range(4000)] + [(h, BASE) for h in RFC] + [(None, BASE), ("https://h.example/a/b", None)]
+    df = spark.createDataFrame(rows, "href string, base string")
+    out = df.select("href", "base", U.identity(F.col("href"), F.col("base")).alias("x"), U.resolved_identity("href", "base").alias("y"))
+    assert out.where(~F.col("x").eqNullSafe(F.col("y"))).limit(5).collect() == []
