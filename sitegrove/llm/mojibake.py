@@ -48,6 +48,8 @@ BUCKETS, POOLS, STEPS, POOL_WEIGHT, DAMAGE, NEEDED = 1 << 18, 1 << 12, 3, 200.0,
 #: Least and greatest size of the hashed table of words; in between it has WORD_ROOM slots a distinct word. Beyond, a word
 #: must be as many times as frequent as the average slot before it counts as known, so the table stays telling.
 LEAST_WORDS, MOST_WORDS, WORD_ROOM, ABOVE_NOISE = 1 << 19, 1 << 22, 8, 4.0
+#: Up to this share of its original's occurrences, a word may be nothing but its garbled form.
+GARBLED_SHARE = 0.25
 #: Words that a worker remembers; occurrences of a word that don't yet count as known; nats that a chain may lie behind
 #: "nothing happened" by likelihood and still be weighed; occurrences of a word in one record that count.
 REMEMBER, UNKNOWN, BEHIND, OCCURRENCES = 200_000, 5.0, 12.0, 5
@@ -227,14 +229,15 @@ class Model:
         self.prior = np.log((used + POOL_WEIGHT * overall) / (used.sum(axis=1, keepdims=True) + POOL_WEIGHT) + 1e-9).astype(np.float32)
         self.score_of: dict[str, list[tuple[int, str, float]]] = {}
 
-    def likelihood(self, word: str) -> float:
-        """Log likelihood: of what stands between typographic marks, with a fixed price for each mark."""
+    def likelihood(self, word: str, explained: float = 0.0) -> float:
+        """Log likelihood: of what stands between typographic marks, with a fixed price for each mark. So many occurrences of
+        the word are explained otherwise and don't make it known."""
         if _MARKS.search(word):
             parts = _MARKS.split(word)
-            return (len(parts) - 1) * MARK + sum(self._likelihood(p) for p in parts if p)
-        return self._likelihood(word)
+            return (len(parts) - 1) * MARK + sum(self._likelihood(p, self.count(p) - explained) for p in parts if p)
+        return self._likelihood(word, self.count(word) - explained)
 
-    def _likelihood(self, word: str) -> float:
+    def _likelihood(self, word: str, occurrences: float) -> float:
         """As a known word if it is one, else by its pairs of characters."""
         out, pairs, a = 0.0, self.pairs, 2
         for b in (*map(ord, word), 3):
@@ -245,23 +248,29 @@ class Model:
                 x = pairs[a, b] = math.log((self.counts[_slot(a, b)] + 1e-3) / (self.counts[_slot(1, a)] + 20.0))
             out += x
             a = b
-        known = self.known(word)
+        known = occurrences - self.unknown
         return max(out, math.log(known / self.seen)) if known > 0 else out
 
-    def known(self, word: str) -> float:
-        """Occurrences of the word beyond those that prove nothing."""
+    def count(self, word: str) -> float:
+        """Occurrences of the word, or somewhat more."""
         one, two = _word_slots(word)
-        return float(min(self.words[one % len(self.words)], self.words[two % len(self.words)])) - self.unknown
+        return float(min(self.words[one % len(self.words)], self.words[two % len(self.words)]))
 
     def scored(self, word: str) -> list[tuple[int, str, float]]:
-        """(chain, original, log likelihood) of the chains worth weighing; chain 0 first, mostly alone."""
+        """(chain, original, log likelihood) of the chains worth weighing; chain 0 first, mostly alone.
+
+        A word is known by its occurrences, but garbled words recur as well: those that its most frequent original would leave
+        behind at a usual rate don't count, however large the corpus.
+        """
         found = self.score_of.get(word)
         if found is None:
             if len(self.score_of) >= REMEMBER:
                 self.score_of.clear()
-            itself = self.likelihood(word)
+            originals = candidates(word)[1:]
+            explained = GARBLED_SHARE * max((self.count(o) for _, o in originals), default=0.0)
+            itself = self.likelihood(word, explained)
             found = [(0, word, itself)]
-            for k, original in candidates(word)[1:]:
+            for k, original in originals:
                 x = self.likelihood(original)
                 if x > itself - BEHIND:
                     found.append((k, original, x))
@@ -313,7 +322,7 @@ class Model:
                 inside = f"+{m[2]}-".encode().decode("utf-7")
             except UnicodeError:
                 continue
-            if inside.isalpha() and not inside.isascii() and any(self.known(w) > 0 for w in WORD.findall(m[1] + inside + m[3])):
+            if inside.isalpha() and not inside.isascii() and any(self.count(w) > self.unknown for w in WORD.findall(m[1] + inside + m[3])):
                 return True
         return False
 

@@ -278,6 +278,14 @@ def test_garbling_hidden_in_ascii(spark):
     assert got["refs"] == f"<p>{CLEAN[1]}</p>" and json.loads(got["json"])["a"] == CLEAN[1] and got["marks"] == CLEAN[0]
 
 
+def test_garbled_words_that_recur(spark):
+    """The same garbling in many records doesn't make its words known."""
+    rows = [{"id": f"c{i}", "type": "Text", "site_id": i % 5, "text": t} for i, t in enumerate(CLEAN * 300)]
+    rows += [{"id": f"g{i}", "type": "Text", "site_id": i % 5, "text": CLEAN[2].encode("cp1250").decode("cp1252")} for i in range(40)]
+    rows += [{"id": f"h{i}", "type": "Html", "site_id": i % 5, "text": CLEAN[4].encode("cp1252").decode("cp1250")} for i in range(40)]
+    assert {r.id for r in garbled_records(assets(spark, *rows), "site_id", "type").collect()} == {f"{x}{i}" for x in "gh" for i in range(40)}
+
+
 def test_recall_of_each_chain(spark):
     """Texts garbled by every pair of writing and reading, each text once: nearly all are found, and no clean one is."""
     rows = [{"id": f"c{i}", "type": "Text", "site_id": i % 5, "text": t} for i, t in enumerate(CLEAN * 200)]
