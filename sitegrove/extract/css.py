@@ -117,7 +117,7 @@ def split_selectors(selector: str) -> list[str]:
 
 
 #: Pseudo classes that depend on the user or the state of a page, and pseudo elements.
-DYNAMIC_PSEUDO = "active checked default disabled enabled focus focus-visible focus-within fullscreen hover in-range indeterminate invalid link optional out-of-range read-only read-write required target valid visited"
+DYNAMIC_PSEUDO = "active any checked default empty enabled focus focus-visible focus-within fullscreen hover in-range indeterminate invalid link optional out-of-range read-only read-write scope target valid visited"
 PSEUDO_ELEMENTS = "after backdrop before cue first-letter first-line grammar-error marker placeholder selection slotted spelling-error"
 _DYNAMIC = re.compile(rf"::?-\w+-[\w-]+|::?(?:{'|'.join(sorted([*DYNAMIC_PSEUDO.split(), *PSEUDO_ELEMENTS.split()], key=len, reverse=True))})(?![\w-])(?:\([^)]*\))?", re.I)
 

@@ -75,7 +75,7 @@ def redirects(assets: DataFrame) -> DataFrame:
     return rows(http, "HttpRedirect", F.col("location")).unionByName(rows(folder, "FileRedirect", F.concat("url", F.lit("index.html"))))
 
 
-def with_inline(assets: DataFrame, levels: int | None = 4) -> tuple[DataFrame, DataFrame]:
+def with_inline(assets: DataFrame, levels: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(relations, inline assets) of the assets and of the inline assets in them, `levels` deep; with None, to the last level.
 
     The last level is found by writing each one: an inline asset is a part of the text around it, so there is one. An inline asset's id is its relation's source and position, its owner the non-inline asset around it.

@@ -45,13 +45,25 @@ def xml_declaration(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"^﻿?\s*(<\?xml\s[^>]*\?>)", 1), F.lit(""))
 
 
+#: Stands for the namespace of a prefix that nothing declares.
+ADDED_NAMESPACE = "urn:added"
+
+
 def with_svg_namespaces(text: Column) -> Column:
     """Inline svg with the namespace declarations that it needs as a document of its own."""
     tag = F.regexp_extract(text, r"(?is)(<svg\b[^>]*>)", 1)
     own = F.when(~tag.rlike(r"(?i)\sxmlns\s*="), F.lit(' xmlns="http://www.w3.org/2000/svg"')).otherwise("")
     link = F.when(text.rlike(r"(?i)\sxlink:") & ~tag.rlike(r"(?i)\sxmlns:xlink\s*="), F.lit(' xmlns:xlink="http://www.w3.org/1999/xlink"')).otherwise("")
+    used = F.regexp_extract_all(text, F.lit(r"[<\s/]([A-Za-z][\w.-]*):[A-Za-z]"), F.lit(1))
+    other = F.filter(F.array_distinct(used), lambda p: ~p.isin("xml", "xmlns", "svg", "xlink") & ~F.contains(text, F.concat(F.lit("xmlns:"), p)))
+    fake = F.array_join(F.transform(other, lambda p: F.concat(F.lit(" xmlns:"), p, F.lit(f'="{ADDED_NAMESPACE}"'))), "")
     at = F.regexp_instr(text, F.lit(r"(?i)<svg\b"))
-    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at + 3), own, link, F.substr(text, at + 4))).otherwise(text)
+    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at + 3), own, link, fake, F.substr(text, at + 4))).otherwise(text)
+
+
+def without_added_namespaces(text: Column) -> Column:
+    """The text without the declarations that with_svg_namespaces made up for unknown prefixes."""
+    return F.regexp_replace(text, rf' xmlns:[^=\s]+="{ADDED_NAMESPACE}"', "")
 
 
 def decode_mappings(text: str) -> list[tuple]:

@@ -250,6 +250,32 @@ def query_map(url: Column) -> Column:
     return F.map_from_entries(keep)
 
 
+def _escaped(part: Column) -> Column:
+    """Percent-encoded, as in a query string: all but letters, digits and -._~."""
+    return F.replace(F.replace(F.replace(F.url_encode(part), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def with_query(url: Column, entries: Column) -> Column:
+    """`url` with the query string of an array of (key, value) structs; an empty one leaves no question mark. The fragment stays."""
+    query = F.array_join(F.transform(entries, lambda e: F.concat(_escaped(e["key"]), F.lit("="), _escaped(e["value"]))), "&")
+    head, tail = F.regexp_extract(url, r"(?s)^([^?#]*)", 1), F.regexp_extract(url, r"(?s)(#.*)$", 1)
+    return F.concat(head, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), tail)
+
+
+def with_query_parameter(url: Column, name: str, value: Column) -> Column:
+    """`url` with the parameter set: in its place if it was there, else at the end. A null value gives null."""
+    entries = F.map_entries(query_map(url))
+    new = F.struct(F.lit(name).alias("key"), value.cast("string").alias("value"))
+    there = F.exists(entries, lambda e: e["key"] == name)
+    changed = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.when(e["key"] == name, new["value"]).otherwise(e["value"]).alias("value")))
+    return F.when(value.isNotNull(), with_query(url, F.when(there, changed).otherwise(F.concat(entries, F.array(new)))))
+
+
+def without_query_parameter(url: Column, name: str) -> Column:
+    """`url` without the parameter; the others are written anew."""
+    return with_query(url, F.filter(F.map_entries(query_map(url)), lambda e: e["key"] != name))
+
+
 def href_type(href: Column) -> Column:
     """inline, protocolRelative, rootRelative, absolute or relative; null (inline target) and data: are inline."""
     trimmed = F.trim(href)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegrove.functions.urls import extension
-from sitegrove.schema import registry
+from sitegrove.schema import registry, type_of_content_type
 
 #: Units of sizes.
 _UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
@@ -76,6 +76,27 @@ def incompatible_types(assets: DataFrame, relations: DataFrame) -> DataFrame:
     return found.select(F.lit("warn").alias("severity"), F.lit("incompatible-types").alias("code"), F.col("id").alias("asset_id"), message.alias("message"))
 
 
+def content_type_conflicts(assets: DataFrame, relations: DataFrame) -> DataFrame:
+    """Diagnostics: assets that aren't redirected and whose Content-Type names another type than they are used as.
+
+    The type of the content type must agree with the asset's own, and text/plain with the type that all relations into the
+    asset expect (the first one's, in their order, if no other contradicts it), which must be Text then. Parameters of
+    the content type don't count. Null content types and types give no row.
+    """
+    served = F.lower(F.trim(F.regexp_extract("content_type", r"^([^;]*)", 1)))
+    plain = assets.where(F.col("content_type").isNotNull() & F.col("location").isNull() if "location" in assets.columns else F.col("content_type").isNotNull())
+    typed = plain.select("id", "type", served.alias("_served"), type_of_content_type(F.col("content_type")).alias("_t"))
+    names = sorted(registry.types)
+    clashes = [f"{a}|{b}" for a in names for b in names if not registry.compatible(a, b)]
+    own = typed.where(F.concat_ws("|", "type", "_t").isin(*clashes)).select("id", "_served", F.col("type").alias("_used"))
+    wanted = relations.where(F.col("to_id").isNotNull() & F.col("target_type").isNotNull())
+    expected = wanted.groupBy(F.col("to_id").alias("id")).agg(F.min_by("target_type", F.struct("ord", F.col("id"))).alias("_used"), F.collect_set("target_type").alias("_all"))
+    agreed = expected.where((F.col("_used") != "Text") & ~F.exists("_all", lambda t: F.concat_ws("|", "_used", t).isin(*clashes)))
+    text = typed.where(F.col("_served") == "text/plain").select("id", "_served").join(agreed.select("id", "_used"), "id")
+    message = F.concat(F.lit("Asset served with a Content-Type of "), F.col("_served"), F.lit(", but used as "), F.col("_used"))
+    return own.unionByName(text).distinct().select(F.lit("warn").alias("severity"), F.lit("content-type").alias("code"), F.col("id").alias("asset_id"), message.alias("message"))
+
+
 def running_chunks(rows: DataFrame, key: str, order: str, weight: str, limit: int) -> DataFrame:
     """Adds `chunk`: a new one begins where the running sum of weights would pass the limit; the sum then starts again.
 

@@ -46,3 +46,36 @@ def dirty(assets: DataFrame, changed: DataFrame, owners: DataFrame) -> DataFrame
     """Assets with is_dirty: they, or an asset inline in them, are among `changed` (id). `owners` is (id, owner_id)."""
     touched = changed.select("id").unionByName(owners.join(changed.select("id"), "id", "left_semi").select(F.col("owner_id").alias("id"))).distinct().withColumn("is_dirty", F.lit(True))
     return assets.join(touched, "id", "left").withColumn("is_dirty", F.coalesce("is_dirty", F.lit(False)))
+
+
+#: Relations that hint at a resource, and what a request for a target is called by its type, by another
+#: relation that leads to it, and by its extension.
+RESOURCE_HINTS = ("HtmlDnsPrefetchLink", "HtmlPreconnectLink", "HtmlPrefetchLink", "HtmlPreloadLink", "HtmlPrerenderLink")
+DESTINATION_OF_RELATION = {"HtmlStyle": "style", "CssImport": "style", "HtmlAudio": "media", "HtmlVideo": "media", "CssFontFaceSrc": "font", "HtmlEmbed": "embed", "HtmlObject": "object"}
+DESTINATION_OF_EXTENSION = {
+    "style": ("css",), "script": ("js",), "image": ("svg", "jpg", "jpeg", "png", "gif", "webp", "ico", "tiff", "bmp"), "document": ("html",), "font": ("woff", "woff2", "ttf", "eot", "otf"),
+}
+
+
+def request_destinations(assets: DataFrame, relations: DataFrame) -> DataFrame:
+    """id and destination of each resource hint: by the target's type, else by the first other relation into the target that
+    says something (by ord and id), else by the target's extension; empty if nothing tells, null without a target."""
+    into = relations.where(F.col("to_id").isNotNull())
+    hints = relations.where(F.col("type").isin(*RESOURCE_HINTS)).select("id", "to_id")
+    # The first two relations into a target are enough to know the first other one.
+    order = F.struct(F.col("ord"), F.col("id"), F.col("type"))
+    wanted = into.join(hints.select("to_id").distinct(), "to_id", "left_semi")
+    first = wanted.groupBy("to_id").agg(F.min(order).alias("_a"))
+    second = wanted.join(first, "to_id").where(F.col("id") != F.col("_a.id")).groupBy("to_id").agg(F.min(order).alias("_b"))
+    targets = assets.select(F.col("id").alias("to_id"), F.col("type").alias("_type"), F.col("url").alias("_url"))
+    rows = hints.join(targets, "to_id", "left").join(first, "to_id", "left").join(second, "to_id", "left")
+    other = F.when(F.col("_a.id") != F.col("id"), F.col("_a.type")).otherwise(F.col("_b.type"))
+    by_relation = F.when(other.isin("HtmlFrame", "HtmlIFrame") & (F.col("_type") == "Html"), "document")
+    for type_, name in DESTINATION_OF_RELATION.items():
+        by_relation = by_relation.when(other == type_, name)
+    ending = F.lower(F.substr(U.extension(F.col("_url")), F.lit(2)))
+    by_extension = F.when(F.lit(False), "")
+    for name, endings in DESTINATION_OF_EXTENSION.items():
+        by_extension = by_extension.when(ending.isin(*endings), name)
+    by_type = F.when(is_a(F.col("_type"), "Image") | (F.col("_type") == "Svg"), "image").when(F.col("_type") == "JavaScript", "script").when(F.col("_type") == "Css", "style")
+    return rows.select("id", F.when(F.col("to_id").isNotNull(), F.coalesce(by_type, by_relation, by_extension, F.lit(""))).alias("destination"))

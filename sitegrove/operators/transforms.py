@@ -90,7 +90,7 @@ def remove_duplicate_html_styles(graph: Graph, wanted: Query = None) -> Graph:
 
 @transform
 def check_incompatible_types(graph: Graph) -> Graph:
-    return graph.with_(diagnostics=aggregate.incompatible_types(graph.assets, graph.relations))
+    return graph.with_(diagnostics=aggregate.incompatible_types(graph.assets, graph.relations).unionByName(aggregate.content_type_conflicts(graph.assets, graph.relations)))
 
 
 @transform
@@ -168,17 +168,23 @@ def move_assets(graph: Graph, urls: DataFrame) -> Graph:
     moved = graph.assets.join(urls.select("id", "new_url"), "id", "left").withColumn("_moved", F.col("new_url").isNotNull()).withColumn("url", F.coalesce("new_url", "url"))
     w = Window.partitionBy("url").orderBy(F.col("_moved").desc(), "seq", "id")
     ranked = moved.withColumn("_n", F.when(F.col("url").isNotNull(), F.row_number().over(w) - 1).otherwise(0))
-    suffixed = F.regexp_replace("url", r"((?:\.[^./?#]*)?(?:[?#].*)?)$", "")
-    end = F.regexp_extract("url", r"((?:\.[^./?#]*)?(?:[?#].*)?)$", 1)
-    assets = ranked.withColumn("url", F.when(F.col("_n") > 0, F.concat(suffixed, F.lit("-"), F.col("_n").cast("string"), end)).otherwise(F.col("url")))
+    end_pattern = r"((?:\.[^./?#]*)?(?:[?#].*)?)$"
+    suffixed, end = F.regexp_replace("url", end_pattern, ""), F.regexp_extract("url", end_pattern, 1)
+    # Suffixes that are in use already are passed over.
+    in_way = ranked.where(F.col("_n") > 0).select("url").distinct()
+    used = moved.where(suffixed.rlike(r"-[0-9]+$")).select(F.concat(F.regexp_replace(suffixed, r"-[0-9]+$", ""), end).alias("url"), F.regexp_extract(suffixed, r"-([0-9]+)$", 1).cast("int").alias("_k"))
+    taken = used.join(in_way, "url", "left_semi").groupBy("url").agg(F.collect_set("_k").alias("_taken"))
+    free = F.array_except(F.sequence(F.lit(1), (F.col("_n") + F.coalesce(F.size("_taken"), F.lit(0))).cast("int")), F.coalesce("_taken", F.array().cast("array<int>")))
+    number = F.try_element_at(free, F.greatest("_n", F.lit(1)).cast("int"))
+    assets = ranked.join(taken, "url", "left").withColumn("url", F.when(F.col("_n") > 0, F.concat(suffixed, F.lit("-"), number.cast("string"), end)).otherwise(F.col("url")))
     return refresh_hrefs(graph.with_(assets=assets.select(*graph.assets.columns)))
 
 
 @transform
 def replace_asset(graph: Graph, old: str, new: str) -> Graph:
     """Relations to the old asset lead to the new one; the old one goes."""
-    relations = graph.relations.withColumn("to_id", F.when(F.col("to_id") == old, F.lit(new)).otherwise(F.col("to_id"))).where(F.col("from_id") != old)
-    return graph.with_(assets=graph.assets.where(F.col("id") != old), relations=relations)
+    relations = graph.relations.withColumn("to_id", F.when(F.col("to_id") == old, F.lit(new)).otherwise(F.col("to_id"))).where(~F.col("from_id").eqNullSafe(F.lit(old)))
+    return graph.with_(assets=graph.assets.where(~F.col("id").eqNullSafe(F.lit(old))), relations=relations)
 
 
 @transform
@@ -287,13 +293,16 @@ def remove_empty_stylesheets(graph: Graph, wanted: Query = None) -> Graph:
 
 
 @transform
-def convert_css_imports_to_html_styles(graph: Graph, max_depth: int = 16) -> Graph:
-    """Each sheet that a page's style imports, directly or not, becomes an HtmlStyle of the page before it (post order)."""
+def convert_css_imports_to_html_styles(graph: Graph) -> Graph:
+    """Each sheet that a page's style imports, directly or not, becomes an HtmlStyle of the page before it (post order).
+
+    The loop goes on until no import path grows; a path meets no sheet twice, so it ends.
+    """
     last = F.lit(2**31 - 1)
     imports = graph.relations.where(F.col("type") == "CssImport").select(F.col("from_id").alias("_sheet"), F.col("to_id").alias("_imported"), F.col("ord").alias("_ord"), "media").where(F.col("_imported").isNotNull())
     level = cut(graph.relations.where((F.col("type") == "HtmlStyle") & F.col("to_id").isNotNull()).select("from_id", "to_id", F.array("ord").alias("key"), F.array("to_id").alias("seen"), F.lit(None).cast("string").alias("media")))
     found = None
-    for _ in range(max_depth):
+    while True:
         level = cut(level.join(imports.withColumnRenamed("media", "_media"), level["to_id"] == imports["_sheet"]).where(~F.array_contains("seen", F.col("_imported"))).select("from_id", F.col("_imported").alias("to_id"), F.concat("key", F.array("_ord")).alias("key"), F.concat("seen", F.array("_imported")).alias("seen"), F.col("_media").alias("media")))
         if level.isEmpty():
             break

@@ -143,12 +143,12 @@ def unreferenced(assets: DataFrame, relations: DataFrame, query: Query = None) -
     return gone if gone is not None else candidates.limit(0)
 
 
-def inline_owner(assets: DataFrame, relations: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(id, owner_id): the nearest asset with a url that holds each asset inline; itself for assets with a url."""
+def inline_owner(assets: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, owner_id): the nearest asset with a url that holds each asset inline, at any depth; itself for assets with a url."""
     parents = relations.where(F.col("to_id").isNotNull()).join(assets.where(F.col("url").isNull()).select(F.col("id").alias("to_id")), "to_id", "left_semi").groupBy("to_id").agg(F.min_by("from_id", F.struct("ord", "from_id")).alias("parent"))
     owned = assets.where(F.col("url").isNotNull()).select("id", F.col("id").alias("owner_id"))
     out, level = owned, owned
-    for _ in range(max_depth):
+    while True:
         level = cut(parents.join(level.select(F.col("id").alias("parent"), "owner_id"), "parent").select(F.col("to_id").alias("id"), "owner_id").join(out.select("id"), "id", "left_anti"))
         if level.isEmpty():
             break

@@ -13,11 +13,7 @@ from sitegrove.operators import styles as S
 from sitegrove.operators import transforms as T
 from sitegrove.operators.facts import asset_facts
 from sitegrove.operators.traverse import inline_owner, populate
-from sitegrove.plans.pipeline import Pipeline
-from sitegrove.plans.tables_graph import HOLD, narrow_graph, text_graph
-from sitegrove.session import cut
-from sitegrove.sinks import dot_lines
-from sitegrove.sources.loaders import assets_from_rows, unsupported_protocols
+from sitegrove.plans.tables_graph import HOLD, text_graph
 from sitegrove.sources.tables import holding, table
 
 
@@ -38,7 +34,7 @@ def _texts(spark: SparkSession, sf: str, *types: str, decoded: bool = True) -> D
 
 def extracted_relations(spark: SparkSession, sf: str) -> DataFrame:
     """All relations in the texts, inline assets included, counted by type."""
-    relations, _ = with_inline(_texts(spark, sf, *SOURCES), levels=3)
+    relations, _ = with_inline(_texts(spark, sf, *SOURCES), levels=None)
     return relations.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("href").alias("with_href"))
 
 
@@ -80,7 +76,7 @@ def crawl(spark: SparkSession, sf: str) -> DataFrame:
     web = assets.groupBy("url").agg(F.min_by(F.struct("id", "type", "text"), "id").alias("x")).select("url", "x.*")
     bases = web.select("id", "url")
     starts = assets.where(F.col("is_initial") & (F.col("type") == "Html")).select("url")
-    loaded, _, _ = populate(web, starts, lambda pages: resolved(extract(pages), bases), {"type": {"$nin": ["HtmlAnchor"]}}, max_rounds=4)
+    loaded, _, _ = populate(web, starts, lambda pages: resolved(extract(pages), bases), {"type": {"$nin": ["HtmlAnchor"]}})
     return loaded.select("id", "type")
 
 
@@ -94,14 +90,6 @@ def charsets(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("charset").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """Several transforms in a row, as a pipeline."""
-    steps = Pipeline().merge_identical_assets().remove_duplicate_html_styles().if_(True).add_javascript_source_url().endif().remove_relations({"type": "HtmlAnchor"}).remove_unreferenced_assets({"is_initial": {"$ne": True}})
-    narrow = narrow_graph(spark, sf)
-    graph = steps.run(narrow.with_(cut(narrow.assets), cut(narrow.relations)), keep=True)
-    return graph.relations.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-
-
 def bundles(spark: SparkSession, sf: str) -> DataFrame:
     graph = T.bundle_relations(text_graph(spark, sf), {"type": {"$in": ["HtmlStyle", "HtmlScript"]}}, "sharedBundles")
     return graph.relations.where(F.col("type").isin("HtmlStyle", "HtmlScript")).select("id", "from_id", "to_id", "type")
@@ -117,19 +105,6 @@ def cache_manifest_entries(spark: SparkSession, sf: str) -> DataFrame:
     return graph.relations.where(F.col("type") == "CacheManifestEntry").select("from_id", "to_id")
 
 
-def _fixture(spark: SparkSession) -> Graph:
-    assets = assets_from_rows(spark, [{"id": "p", "type": "Html", "url": "http://h/p", "text": "<html><head></head><body><p class=x>a</p><link rel=stylesheet href=s><i>b</i></body></html>"}, {"id": "s", "type": "Css", "url": "http://h/s", "text": "p{color:red}.x{margin:0}i{top:0}"}])
-    return Graph(assets, spark.createDataFrame([("r", "HtmlStyle", "p", "s", 0, "s", None, None, True, None)], "id string, type string, from_id string, to_id string, ord int, href string, target_type string, media string, in_head boolean, node_attrs map<string,string>"))
-
-
-def critical_css_fixture(spark: SparkSession, sf: str) -> DataFrame:
-    return S.inline_critical_css(_fixture(spark)).assets.select("id", "text")
-
-
-def inline_styles_fixture(spark: SparkSession, sf: str) -> DataFrame:
-    return S.convert_stylesheets_to_inline_styles(_fixture(spark)).assets.select("id", "text")
-
-
 def _content_graph(spark: SparkSession, sf: str) -> Graph:
     """The text graph, with the contents of assets that aren't decoded yet."""
     graph = text_graph(spark, sf)
@@ -182,19 +157,6 @@ def selector_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _texts(spark, sf, "Css").where(F.col("text").isNotNull()).select("id", T.rule_count("text").alias("selectors"))
 
 
-def graph_drawing(spark: SparkSession, sf: str) -> DataFrame:
-    return dot_lines(text_graph(spark, sf), {"type": {"$in": ["Html", "Css"]}})
-
-
-def odd_protocols(spark: SparkSession, sf: str) -> DataFrame:
-    return unsupported_protocols(text_graph(spark, sf).relations)
-
-
-def srcset_fixture(spark: SparkSession, sf: str) -> DataFrame:
-    rows = assets_from_rows(spark, [{"id": "s1", "text": "a.png 1x, b.png 2x"}, {"id": "s2", "text": "c.png"}, {"id": "s3", "text": " d,e.png 100w,  f.png 3x "}])
-    return rows.select("id", F.inline(srcset_entries(F.col("text"))))
-
-
 def srcsets(spark: SparkSession, sf: str) -> DataFrame:
     """The entries of all srcsets: those in pages, at any depth, and assets of this type."""
     assets = _texts(spark, sf, "Html", "SrcSet")
@@ -206,11 +168,12 @@ def srcsets(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        extracted_relations, extracted_hrefs, extracted_hrefs_all, css_urls, css_urls_all, resolved_targets, crawl, inline_owners, charsets, pipeline, bundles, css_imports_to_styles, cache_manifest_entries, critical_css_fixture, critical_css, inline_styles_fixture, inline_styles, facts, facts_all, minified, stripped, gzipped, selector_counts, graph_drawing, odd_protocols, srcset_fixture, srcsets,
+        extracted_relations, extracted_hrefs, extracted_hrefs_all, css_urls, css_urls_all, resolved_targets, crawl, inline_owners, charsets, bundles, css_imports_to_styles, cache_manifest_entries, critical_css, inline_styles, facts, facts_all, minified, stripped, gzipped, selector_counts, srcsets,
     )
 }
 
 SQL = {
+    "charsets": f"""{HOLD}, h AS (SELECT CAST(raw_src[1:1024] AS VARCHAR) AS s FROM a) SELECT lower(coalesce(nullif(regexp_extract(s, '(?i)<meta[^>]*charset\\s*=\\s*["'']?\\s*([\\w-]+)', 1), ''), nullif(regexp_extract(s, '(?i)^\\s*@charset\\s*["'']([\\w-]+)["'']', 1), ''), nullif(regexp_extract(s, '(?i)^\\s*<\\?xml[^>]*encoding\\s*=\\s*["'']([\\w-]+)["'']', 1), ''))) AS charset, count(*) AS n FROM h GROUP BY 1""",
     "inline_owners": f"""{HOLD}, p AS (SELECT to_id, arg_min(from_id, (ord, from_id)) AS parent FROM r WHERE to_id IN (SELECT id FROM a WHERE url IS NULL) GROUP BY to_id),
 o AS (SELECT id, id AS owner_id FROM a WHERE url IS NOT NULL UNION SELECT p.to_id, o.owner_id FROM o JOIN p ON p.parent = o.id) SELECT id, owner_id FROM o""",
     "css_imports_to_styles": f"""{HOLD}, s AS (SELECT DISTINCT from_id AS page, to_id AS sheet FROM r WHERE type = 'HtmlStyle' AND to_id IS NOT NULL), i AS (SELECT DISTINCT from_id, to_id FROM r WHERE type = 'CssImport' AND to_id IS NOT NULL),
@@ -225,8 +188,6 @@ SELECT p.manifest, m.id FROM m JOIN p ON p.id = m.start JOIN a ON a.id = m.id WH
 CASE WHEN type = 'Html' THEN NOT regexp_matches(text, '(?i)<(?:!doctype|html|head|body)[\\s>]') END AS is_fragment,
 CASE WHEN type = 'JavaScript' THEN regexp_matches(regexp_replace(text, '(?s:/\\*.*?\\*/)|//[^\\n]*', '', 'g'), '^\\s*["'']use strict["'']') END AS is_strict,
 CASE WHEN type = 'Json' THEN regexp_matches(text, '^\\s*[\\[{{]\\s*\\n\\s') END AS is_pretty, nullif(regexp_extract(nullif(regexp_extract(url, '(?i)^(?:[a-z][a-z0-9+.\\-]*:)?//([^/?#]*)', 1), ''), '^(?:.*@)?([^:]*)', 1), '') AS hostname FROM a""",
-    "critical_css_fixture": "SELECT * FROM (VALUES ('p', '<html><head><style>p{color:red}.x{margin:0}</style></head><body><p class=x>a</p><link rel=stylesheet href=s><i>b</i></body></html>'), ('s', 'p{color:red}.x{margin:0}i{top:0}')) AS t (id, text)",
-    "inline_styles_fixture": "SELECT * FROM (VALUES ('p', '<html><head></head><body><p class=x style=\"color: red; margin: 0\">a</p><link rel=stylesheet href=s><i style=\"top: 0\">b</i></body></html>'), ('s', 'p{color:red}.x{margin:0}i{top:0}')) AS t (id, text)",
     "extracted_hrefs": f"""{HOLD}, p AS (SELECT id, text FROM a WHERE type = 'Html' AND regexp_matches(text, '(?i)</html>\\s*$') AND NOT regexp_matches(text, '<!--|<svg|<noscript|<template|[<>=]{{7}}')),
 e AS (SELECT id, 'HtmlAnchor' AS type, unnest(regexp_extract_all(text, '(?i)<a\\s[^>]*?href=["'']([^"'']*)["'']', 1)) AS href FROM p
 UNION ALL SELECT id, 'HtmlImage', unnest(regexp_extract_all(text, '(?i)<img\\s[^>]*?src=["'']([^"'']*)["'']', 1)) FROM p
@@ -235,7 +196,5 @@ UNION ALL SELECT id, 'HtmlScript', unnest(regexp_extract_all(text, '(?i)<script\
 SELECT DISTINCT id AS from_id, type, href FROM e""",
     "css_urls": f"""{HOLD}, p AS (SELECT id, text FROM a WHERE type = 'Css' AND NOT regexp_matches(text, '/\\*|content\\s*:|[<>=]{{7}}')),
 e AS (SELECT id, unnest(regexp_extract_all(text, '(?:background|background-image|src)\\s*:\\s*url\\(["'']?([^"'')]*)["'']?\\)', 1)) AS href FROM p) SELECT DISTINCT id AS from_id, href FROM e""",
-    "srcset_fixture": "SELECT * FROM (VALUES ('s1', 'a.png', '1x'), ('s1', 'b.png', '2x'), ('s2', 'c.png', ''), ('s3', 'd,e.png', '100w'), ('s3', 'f.png', '3x')) AS t (id, url, descriptors)",
-    "odd_protocols": f"{HOLD} SELECT DISTINCT 'warn' AS severity, 'protocol' AS code, from_id AS asset_id, 'no loader for ' || lower(regexp_extract(trim(href), '(?i)^([a-z][a-z0-9+.\\-]*:)', 1)) AS message FROM r WHERE regexp_matches(trim(href), '(?i)^[a-z][a-z0-9+.\\-]*:') AND NOT regexp_matches(trim(href), '(?i)^(about|blob|callto|chrome|data|facetime|file|geo|git|http|https|intent|irc|javascript|magnet|mailto|maps|market|news|sip|skype|sms|ssh|steam|tel|urn|view-source|webcal|whatsapp|xmpp):')",
 }
 

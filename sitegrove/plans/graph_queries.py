@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from sitegrove.functions import urls as U
 from sitegrove.operators import aggregate, traverse
+from sitegrove.operators.facts import request_destinations
+from sitegrove.plans.pipeline import Pipeline
 from sitegrove.plans.tables_graph import HOLD, narrow_graph
 from sitegrove.schema import inferred_type, registry
-from sitegrove.sinks import stats_table
+from sitegrove.session import cut
+from sitegrove.sinks import dot_lines, stats_table
+from sitegrove.sources.loaders import KNOWN_PROTOCOLS, protocol_support
 from sitegrove.sources.tables import holding, table
 
 
@@ -73,6 +77,42 @@ def incompatible_types(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.incompatible_types(graph.assets, graph.relations)
 
 
+def content_type_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """As if all assets of odd sites had been served as plain text, or pages as Json, beside what the table says."""
+    graph = narrow_graph(spark, sf)
+    odd = F.col("site_id") % 2 == 1
+    served = F.when(odd & (F.col("type") == "Html"), "application/json; charset=utf-8").when(odd & F.col("type").isin("JavaScript", "Css"), "Text/Plain").otherwise(F.col("content_type"))
+    return aggregate.content_type_conflicts(graph.assets.withColumn("content_type", served), graph.relations)
+
+
+def hint_destinations(spark: SparkSession, sf: str) -> DataFrame:
+    graph = narrow_graph(spark, sf)
+    return request_destinations(graph.assets, graph.relations)
+
+
+def rewritten_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Urls with a query string: with one more parameter, one in place, and without one."""
+    u = F.col("url")
+    known = narrow_graph(spark, sf).find_assets({"url": re.compile(r"\?")})
+    return known.select("id", U.with_query_parameter(u, "added", F.lit("a b&c*")).alias("added"), U.with_query_parameter(u, "v", F.lit("new")).alias("changed"), U.without_query_parameter(u, "v").alias("removed"))
+
+
+def protocols(spark: SparkSession, sf: str) -> DataFrame:
+    return protocol_support(narrow_graph(spark, sf).relations)
+
+
+def drawing(spark: SparkSession, sf: str) -> DataFrame:
+    return dot_lines(narrow_graph(spark, sf), {"type": {"$in": ["Html", "Css"]}})
+
+
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Several transforms in a row, as a pipeline."""
+    steps = Pipeline().merge_identical_assets().remove_duplicate_html_styles().if_(True).add_javascript_source_url().endif().remove_relations({"type": "HtmlAnchor"}).remove_unreferenced_assets({"is_initial": {"$ne": True}})
+    narrow = narrow_graph(spark, sf)
+    graph = steps.run(narrow.with_(cut(narrow.assets), cut(narrow.relations)), keep=True)
+    return graph.relations.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def bundle_runs(spark: SparkSession, sf: str) -> DataFrame:
     graph = narrow_graph(spark, sf)
     numbered = graph.relations.withColumn("_o", F.format_string("%010d%s", "ord", "id"))
@@ -143,7 +183,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         anchors_by_href_type, relation_counts_by_type, find_assets_regex, find_assets_not_in, find_assets_operators, find_relations_nested, elem_match_incoming, orphans, stats_by_type, merge_identical, merged_edges, remove_duplicate_styles,
-        incompatible_types, bundle_runs, crossorigin_edges, url_parts, query_parameters, fragments, inferred_types, reachable_assets, unreferenced_assets, post_order, selector_chunks, diagnostics_by_month, minimum_referrer_distance,
+        incompatible_types, content_type_warnings, hint_destinations, rewritten_queries, protocols, drawing, pipeline, bundle_runs, crossorigin_edges, url_parts, query_parameters, fragments, inferred_types, reachable_assets, unreferenced_assets, post_order, selector_chunks, diagnostics_by_month, minimum_referrer_distance,
     )
 }
 
@@ -161,7 +201,42 @@ _SURVIVORS = f"{HOLD}, m AS (SELECT id, first_value(id) OVER (PARTITION BY type,
 _NAMES = sorted(registry.types)
 _CLASHES = ", ".join(f"('{a}', '{b}')" for a in _NAMES for b in _NAMES if a < b and not registry.compatible(a, b))
 
+_ALL_CLASHES = ", ".join(f"('{a}', '{b}')" for a in _NAMES for b in _NAMES if not registry.compatible(a, b))
+_BY_CONTENT_TYPE = ", ".join(f"('{a}', '{b}')" for a, b in sorted(registry.by_content_type().items()))
+_QUERY = "regexp_extract({0}, '^[^?#]*\\?([^#]*)', 1)"
+_PLAIN = "regexp_extract({0}, '^([^?#]*)', 1)"
+
 SQL = {
+    "content_type_warnings": f"""{HOLD}, s AS (SELECT id, type, lower(trim(split_part(CASE WHEN site_id % 2 = 1 AND type = 'Html' THEN 'application/json; charset=utf-8' WHEN site_id % 2 = 1 AND type IN ('JavaScript', 'Css') THEN 'Text/Plain' ELSE content_type END, ';', 1))) AS served FROM a WHERE location IS NULL),
+c AS (SELECT * FROM (VALUES {_BY_CONTENT_TYPE}) AS t (served, t)), z AS (SELECT * FROM (VALUES {_ALL_CLASHES}) AS t (x, y)),
+own AS (SELECT s.id, s.served, s.type AS used FROM s JOIN c USING (served) JOIN z ON z.x = s.type AND z.y = c.t),
+e AS (SELECT to_id AS id, arg_min(target_type, (ord, id)) AS used, list(DISTINCT target_type) AS seen FROM r WHERE to_id IS NOT NULL AND target_type IS NOT NULL GROUP BY to_id),
+txt AS (SELECT s.id, s.served, e.used FROM s JOIN e USING (id) WHERE s.served = 'text/plain' AND e.used <> 'Text' AND NOT EXISTS (SELECT 1 FROM z WHERE z.x = e.used AND list_contains(e.seen, z.y)))
+SELECT DISTINCT 'warn' AS severity, 'content-type' AS code, id AS asset_id, 'Asset served with a Content-Type of ' || served || ', but used as ' || used AS message FROM (SELECT * FROM own UNION ALL SELECT * FROM txt)""",
+    "hint_destinations": f"""{HOLD}, h AS (SELECT id, to_id FROM r WHERE type IN ('HtmlDnsPrefetchLink', 'HtmlPreconnectLink', 'HtmlPrefetchLink', 'HtmlPreloadLink', 'HtmlPrerenderLink')),
+x AS (SELECT h.id, h.to_id, a.type AS t, lower(regexp_extract(regexp_extract(a.url, '^[^?#]*'), '\\.([^./]*)$', 1)) AS ext, (SELECT arg_min(r.type, (r.ord, r.id)) FROM r WHERE r.to_id = h.to_id AND r.id <> h.id) AS other FROM h LEFT JOIN a ON a.id = h.to_id)
+SELECT id, CASE WHEN to_id IS NULL THEN NULL WHEN t IN ('Png', 'Gif', 'Jpeg', 'Svg', 'Ico', 'Image') THEN 'image' WHEN t = 'JavaScript' THEN 'script' WHEN t = 'Css' THEN 'style' WHEN other IN ('HtmlStyle', 'CssImport') THEN 'style'
+WHEN t = 'Html' AND other IN ('HtmlFrame', 'HtmlIFrame') THEN 'document' WHEN other IN ('HtmlAudio', 'HtmlVideo') THEN 'media' WHEN other = 'CssFontFaceSrc' THEN 'font' WHEN other = 'HtmlEmbed' THEN 'embed' WHEN other = 'HtmlObject' THEN 'object'
+WHEN ext = 'css' THEN 'style' WHEN ext = 'js' THEN 'script' WHEN ext IN ('svg', 'jpg', 'jpeg', 'png', 'gif', 'webp', 'ico', 'tiff', 'bmp') THEN 'image' WHEN ext = 'html' THEN 'document' WHEN ext IN ('woff', 'woff2', 'ttf', 'eot', 'otf') THEN 'font' ELSE '' END AS destination FROM x""",
+    "rewritten_queries": f"""{HOLD}, p AS (SELECT id, url, list_filter(string_split({_QUERY.format("url")}, '&'), lambda x: x <> '') AS parts FROM a WHERE contains(url, '?')),
+q AS (SELECT id, {_PLAIN.format("url")} AS head, regexp_extract(url, '(?s)(#.*)$', 1) AS tail, list_transform(parts, lambda x: url_encode(url_decode(split_part(x, '=', 1))) || '=' || url_encode(url_decode(regexp_extract(x, '^[^=]*=(.*)$', 1)))) AS w FROM p)
+SELECT id, head || '?' || array_to_string(list_append(w, 'added=a%20b%26c%2A'), '&') || tail AS added,
+head || '?' || array_to_string(CASE WHEN len(list_filter(w, lambda x: starts_with(x, 'v='))) > 0 THEN list_transform(w, lambda x: CASE WHEN starts_with(x, 'v=') THEN 'v=new' ELSE x END) ELSE list_append(w, 'v=new') END, '&') || tail AS changed,
+head || CASE WHEN len(list_filter(w, lambda x: NOT starts_with(x, 'v='))) > 0 THEN '?' ELSE '' END || array_to_string(list_filter(w, lambda x: NOT starts_with(x, 'v=')), '&') || tail AS removed FROM q""",
+    "protocols": f"""{HOLD}, k AS (SELECT lower(regexp_extract(trim(href), '(?i)^([a-z][a-z0-9+.\\-]*:)', 1)) AS protocol FROM r) SELECT protocol, CASE WHEN protocol IN ('http:', 'https:', 'file:', 'data:', 'javascript:') THEN 'loaded'
+WHEN protocol IN ({", ".join(f"'{p}'" for p in KNOWN_PROTOCOLS)}) THEN 'known' ELSE 'unsupported' END AS support, count(*) AS n FROM k WHERE protocol <> '' GROUP BY 1, 2""",
+    "drawing": f"""{HOLD}, n AS (SELECT id, type, url, regexp_extract({_PATH.format("url")}, '^(.*/)', 1) AS dir, coalesce({_FILE.format("url")}, url, 'inline ' || type) AS label FROM a WHERE type IN ('Html', 'Css')),
+w AS (SELECT id, coalesce(dir, '') AS key, '"' || regexp_replace('cluster_' || coalesce(dir, 'inline'), '(["\\\\])', '\\\\\\1', 'g') || '"' AS c, '"' || regexp_replace(id, '(["\\\\])', '\\\\\\1', 'g') || '"' AS q, '"' || regexp_replace(label, '(["\\\\])', '\\\\\\1', 'g') || '"' AS l FROM n)
+SELECT 0 AS part, key, 'subgraph ' || c || ' {{ ' || q || ' [label=' || l || ']; }}' AS line FROM w
+UNION ALL SELECT 1, from_id, '"' || from_id || '" -> "' || to_id || '" [label="' || type || '"];' FROM r WHERE from_id IN (SELECT id FROM n) AND to_id IN (SELECT id FROM n)""",
+    "pipeline": f"""{_SURVIVORS}, gone AS (SELECT * FROM m WHERE id <> survivor),
+e AS (SELECT r.id, r.type, r.ord, r.from_id, coalesce(gone.survivor, r.to_id) AS to_id FROM r LEFT JOIN gone ON gone.id = r.to_id WHERE r.from_id IS NULL OR r.from_id NOT IN (SELECT id FROM gone)),
+one AS (SELECT id, type, from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY from_id, to_id, type ORDER BY ord, id) AS k FROM e) WHERE type <> 'HtmlAnchor' AND (to_id IS NULL OR k = 1 OR type NOT IN ('CacheManifestEntry', 'HtmlStyle'))
+  UNION ALL SELECT id, 'JavaScriptSourceUrl', id, id FROM a WHERE type = 'JavaScript' AND url IS NOT NULL AND id NOT IN (SELECT id FROM gone)),
+c AS (SELECT id FROM a WHERE url IS NOT NULL AND is_initial IS DISTINCT FROM true AND id NOT IN (SELECT id FROM gone)), l AS (SELECT DISTINCT from_id, to_id FROM one WHERE to_id IS NOT NULL),
+tc AS (SELECT from_id AS src, to_id AS dst FROM l UNION SELECT tc.src, l.to_id FROM tc JOIN l ON l.from_id = tc.dst),
+lost AS (SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM tc WHERE tc.dst = c.id AND (tc.src NOT IN (SELECT id FROM c) OR tc.src IN (SELECT src FROM tc WHERE src = dst))))
+SELECT type, count(*) AS n FROM one WHERE from_id IS NULL OR from_id NOT IN (SELECT id FROM lost) GROUP BY 1""",
     "incompatible_types": f"""{HOLD}, t AS (SELECT to_id AS id, target_type AS t FROM r WHERE to_id IS NOT NULL AND target_type IS NOT NULL UNION SELECT id, type FROM a WHERE type <> 'Asset')
 SELECT 'warn' AS severity, 'incompatible-types' AS code, x.id AS asset_id, 'used as both ' || x.t || ' and ' || y.t AS message FROM t x JOIN t y ON x.id = y.id AND x.t < y.t WHERE (x.t, y.t) IN ({_CLASHES})""",
     "unreferenced_assets": f"""{HOLD}, c AS (SELECT id FROM a WHERE url IS NOT NULL AND is_initial IS DISTINCT FROM true), e AS (SELECT DISTINCT from_id, to_id FROM r WHERE to_id IS NOT NULL),

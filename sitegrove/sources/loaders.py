@@ -98,6 +98,13 @@ def unsupported_protocols(relations: DataFrame) -> DataFrame:
     return odd.select(F.lit("warn").alias("severity"), F.lit("protocol").alias("code"), F.col("from_id").alias("asset_id"), F.concat(F.lit("no loader for "), kind).alias("message")).distinct()
 
 
+def protocol_support(relations: DataFrame) -> DataFrame:
+    """protocol, n and support of the hrefs with a scheme: 'loaded', 'known' (left alone) or 'unsupported' (warned of)."""
+    kind = protocol(F.trim("href"))
+    support = F.when(kind.isin("http:", "https:", "file:", "data:", "javascript:"), "loaded").when(kind.isin(*KNOWN_PROTOCOLS), "known").otherwise("unsupported")
+    return relations.where(kind.isNotNull()).groupBy(kind.alias("protocol"), support.alias("support")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def assets_from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Assets from memory; missing columns are null, seq is the position."""
     names = ASSETS.names
