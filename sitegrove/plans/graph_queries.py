@@ -79,7 +79,7 @@ def incompatible_types(spark: SparkSession, sf: str) -> DataFrame:
 
 def content_type_warnings(spark: SparkSession, sf: str) -> DataFrame:
     """As if all assets of odd sites had been served as plain text, or pages as Json, beside what the table says."""
-    graph = narrow_graph(spark, sf)
+    graph = narrow_graph(spark, sf, "location")
     odd = F.col("site_id") % 2 == 1
     served = F.when(odd & (F.col("type") == "Html"), "application/json; charset=utf-8").when(odd & F.col("type").isin("JavaScript", "Css"), "Text/Plain").otherwise(F.col("content_type"))
     return aggregate.content_type_conflicts(graph.assets.withColumn("content_type", served), graph.relations)

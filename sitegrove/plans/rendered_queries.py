@@ -58,7 +58,7 @@ def rendered_relations(spark: SparkSession, sf: str) -> DataFrame:
 
 def redirected(spark: SparkSession, sf: str) -> DataFrame:
     """The redirects that the assets' responses and folders are."""
-    return redirects(narrow_graph(spark, sf).assets).select("from_id", "type", "href")
+    return redirects(narrow_graph(spark, sf, "location").assets).select("from_id", "type", "href")
 
 
 QUERIES = {"rendered_relations": rendered_relations, "redirected": redirected}

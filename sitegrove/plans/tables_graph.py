@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from sitegrove.graph import Graph
 from sitegrove.sources.tables import holding, table
 
-ASSET_COLUMNS = ("seq", "site_id", "type", "url", "is_loaded", "is_initial", "is_redirect", "status_code", "location", "encoding", "content_type", "last_known_byte_length", "md5_hex", "file_name", "extension", "added_at", "removed_at")
+ASSET_COLUMNS = ("seq", "site_id", "type", "url", "is_loaded", "is_initial", "is_redirect", "status_code", "encoding", "content_type", "last_known_byte_length", "md5_hex", "file_name", "extension", "added_at", "removed_at")
 RELATION_COLUMNS = ("type", "site_id", "from_id", "to_id", "ord", "href", "base_url", "target_type", "media", "seen_at")
 
 
-def narrow_graph(spark: SparkSession, sf: str) -> Graph:
-    """Holding rows without contents: all that graph queries need, so no text is shuffled."""
-    return Graph(holding(table(spark, sf, "assets"), *ASSET_COLUMNS), holding(table(spark, sf, "relations"), *RELATION_COLUMNS))
+def narrow_graph(spark: SparkSession, sf: str, *more: str) -> Graph:
+    """Holding rows without contents: all that graph queries need (`more` columns of assets where named), so no text is shuffled."""
+    return Graph(holding(table(spark, sf, "assets"), *ASSET_COLUMNS, *more), holding(table(spark, sf, "relations"), *RELATION_COLUMNS))
 
 
 def text_graph(spark: SparkSession, sf: str) -> Graph:
