@@ -100,16 +100,17 @@ def populate(web: DataFrame, starts: DataFrame, extract: Callable[[DataFrame], D
     Each round loads the frontier's urls from `web`, extracts its relations and follows those that match `follow` to
     assets that don't match `stop`. Urls that `web` doesn't hold become unloaded assets without an id of the web, and a
     warning, or only an info if nothing but source map comments lead there. Targets exist even where they aren't followed.
+    Without starts the tables are empty.
     """
     frontier = cut(starts.select("url").distinct())
-    seen, loaded, relations = frontier, None, None
+    seen, loaded = frontier, web.where(F.lit(False))
+    relations = extract(loaded)
     rounds = 0
     while not frontier.isEmpty() and (max_rounds is None or rounds < max_rounds):
         rounds += 1
         pages = cut(web.join(frontier, "url", "left_semi"))
         found = cut(extract(pages))
-        loaded = pages if loaded is None else loaded.unionByName(pages)
-        relations = found if relations is None else relations.unionByName(found)
+        loaded, relations = (pages, found) if rounds == 1 else (loaded.unionByName(pages), relations.unionByName(found))
         followed = found.where(predicate(found, follow) & F.col("url").isNotNull()).select("url").distinct()
         if stop is not None:
             targets = web.join(followed, "url", "left_semi")

@@ -1,11 +1,13 @@
 from pyspark.sql import functions as F
 
+from sitegrove.extract.operator import extract, resolved
 from sitegrove.functions import text as X
 from sitegrove.functions import urls as U
 from sitegrove.graph import Graph
 from sitegrove.operators import transforms as T
 from sitegrove.operators.aggregate import content_type_conflicts
 from sitegrove.operators.facts import request_destinations
+from sitegrove.operators.traverse import populate
 from sitegrove.session import cut
 from sitegrove.sources.loaders import assets_from_rows
 
@@ -52,3 +54,13 @@ def test_destinations_and_content_types(spark):
 def test_checkpoints_go_where_the_session_says(spark):
     folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     assert cut(spark.range(3)).count() == 3 and folder
+
+
+def test_crawl_of_deep_links_and_without_starts(spark):
+    pages = [{"id": f"p{i}", "type": "Html", "url": f"http://h/{i}", "text": f'<a href="/{i + 1}">x</a>'} for i in range(6)]
+    web = assets_from_rows(spark, pages).select("id", "type", "url", "text")
+    bases = web.select("id", "url")
+    for starts, found, missing in ((["http://h/0"], {f"p{i}" for i in range(6)}, ["cannot load http://h/6"]), ([], set(), [])):
+        frame = spark.createDataFrame([(u,) for u in starts], "url string")
+        loaded, relations, notes = populate(web, frame, lambda df: resolved(extract(df), bases))
+        assert {r.id for r in loaded.collect()} == found and relations.count() == len(found) and [r.message for r in notes.collect()] == missing
