@@ -399,16 +399,19 @@ def add_cache_manifest(graph: Graph, wanted: Query = None) -> Graph:
     """A cache manifest per page with entries for the non-inline, loaded assets that are part of it (post-order set)."""
     pages = cut(graph.find_assets({"type": "Html", "url": {"$exists": True}} | dict(wanted or {})).select("id", "url"))
     part = graph.relations.where(~F.col("type").isin(*NOT_PART_OF_PAGE))
-    reach = traverse.reachable(part, pages).where(F.col("id") != F.col("start"))
-    known = graph.relations.where(F.col("type") == "HtmlCacheManifest").groupBy(F.col("from_id").alias("start")).agg(F.min("to_id").alias("_known"))
+    there = cut(graph.relations.where(F.col("type").isin("HtmlCacheManifest", "CacheManifestEntry") & F.col("to_id").isNotNull()).select("type", "from_id", "to_id"))
+    known = there.where(F.col("type") == "HtmlCacheManifest").groupBy(F.col("from_id").alias("start")).agg(F.min("to_id").alias("_known"))
     owners = pages.select(F.col("id").alias("start"), F.col("url").alias("_page")).join(known, "start", "left").withColumn("_manifest", F.coalesce("_known", _new_id("manifest", F.col("start"))))
     fresh = owners.where(F.col("_known").isNull())
     url = F.concat(F.regexp_replace(F.regexp_replace("_page", r"[?#].*$", ""), r"\.html$", ""), F.lit(".appcache"))
     assets = _columns(fresh.select(F.col("_manifest").alias("id"), F.lit("CacheManifest").alias("type"), url.alias("url"), F.lit("CACHE MANIFEST\nNETWORK:\n*\n").alias("text")), graph.assets)
     links = _columns(fresh.select(_new_id("manifest-of", F.col("start")).alias("id"), F.lit("HtmlCacheManifest").alias("type"), F.col("start").alias("from_id"), F.col("_manifest").alias("to_id"), F.lit(-1).alias("ord"), build_href(url, F.col("_page"), F.lit("relative")).alias("href")), graph.relations)
-    targets = graph.assets.where(F.col("url").isNotNull() & F.col("is_loaded")).select("id", F.col("url").alias("_target"))
-    listed = graph.relations.where(F.col("type") == "CacheManifestEntry").select(F.col("from_id").alias("_manifest"), F.col("to_id").alias("id"))
-    entries = reach.join(targets, "id").join(owners, "start").join(listed, ["_manifest", "id"], "left_anti")
+    targets = graph.assets.where(F.col("url").isNotNull() & F.col("is_loaded"))
+    listed = there.where(F.col("type") == "CacheManifestEntry").select(F.col("from_id").alias("_manifest"), F.col("to_id").alias("id"))
+    reach = traverse.reached_targets(part, owners.select(F.col("start").alias("id"), F.col("_manifest").alias("label")), targets.select("id"), owners.join(listed, "_manifest").select("start", "id"))
+    # Joins to the left with unique keys, so that a plan without hrefs goes without them.
+    urls = targets.groupBy("id").agg(F.min("url").alias("_target"))
+    entries = reach.withColumnRenamed("label", "_manifest").join(urls, "id", "left").join(pages.groupBy(F.col("id").alias("start")).agg(F.min("url").alias("_page")), "start", "left")
     edges = _columns(entries.select(_new_id("entry", F.col("_manifest"), F.col("id")).alias("id"), F.lit("CacheManifestEntry").alias("type"), F.col("_manifest").alias("from_id"), F.col("id").alias("to_id"), F.col("depth").alias("ord"), build_href("_target", url, F.lit("relative")).alias("href")), graph.relations)
     return graph.with_(assets=graph.assets.unionByName(assets), relations=graph.relations.unionByName(links).unionByName(edges))
 

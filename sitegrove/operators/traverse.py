@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from sitegrove.operators.query import Query, find_relations, predicate
 from sitegrove.session import cut
@@ -54,6 +57,123 @@ def reached_set(edges: DataFrame, starts: DataFrame, **limits) -> DataFrame:
     return visited
 
 
+#: Most ids in a row that a walk gives, before it is exploded.
+IDS = 8192
+#: Kinds of rows that a walk gets: edges and targets in every part, the others in their start's.
+EDGE, TARGET, WITHOUT, START = range(4)
+
+
+def _dealt(edges: DataFrame, starts: DataFrame, targets: DataFrame | None = None, without: DataFrame | None = None) -> DataFrame:
+    """(part, kind, a, b, n): starts (id, label) dealt to one part per core by their hash, all edges (from_id, to_id, n) with each."""
+    parts = edges.sparkSession.sparkContext.defaultParallelism
+
+    def rows(df: DataFrame, kind: int, a: str, b: str | None = None, n: str | None = None) -> DataFrame:
+        part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if kind in (EDGE, TARGET) else F.pmod(F.xxhash64(a), F.lit(parts)).cast("int")
+        columns = [F.lit(kind).alias("kind"), F.col(a).alias("a"), (F.col(b) if b else F.lit(None).cast("string")).alias("b"), (F.col(n) if n else F.lit(0)).alias("n")]
+        return df.where(F.col(a).isNotNull()).select(part.alias("part"), *columns)
+
+    out = rows(edges.where(F.col("to_id").isNotNull()), EDGE, "from_id", "to_id", "n").unionByName(rows(starts, START, "id", "label"))
+    if targets is not None:
+        out = out.unionByName(rows(targets, TARGET, "id"))
+    if without is not None:
+        out = out.unionByName(rows(without, WITHOUT, "start", "id"))
+    return out.repartitionById(parts, F.col("part"))
+
+
+class _Part:
+    """A part's graph with its nodes numbered: `to[first[x]:first[x + 1]]` are the targets of x in order."""
+
+    def __init__(self, batches: list[pa.RecordBatch]) -> None:
+        rows = pa.Table.from_batches(batches)
+        kinds = [rows.filter(pc.equal(rows["kind"], kind)) for kind in range(4)]
+        columns = [kinds[EDGE]["a"], kinds[EDGE]["b"], kinds[TARGET]["a"], kinds[WITHOUT]["a"], kinds[WITHOUT]["b"], kinds[START]["a"]]
+        rank, self.labels = kinds[EDGE]["n"].to_numpy(), kinds[START]["b"].to_pylist()
+        del rows, kinds
+        coded = pa.chunked_array([c for column in columns for c in column.chunks], pa.string()).cast(pa.large_string()).combine_chunks().dictionary_encode()
+        self.names = coded.dictionary.cast(pa.string())
+        sources, self.to, self.targets, of, listed, self.starts = np.split(coded.indices.to_numpy(), np.cumsum([len(c) for c in columns])[:-1])
+        self.n = len(self.names)
+        order = np.lexsort((rank, sources))
+        self.to, self.first = self.to[order], np.concatenate(([0], np.cumsum(np.bincount(sources, minlength=self.n))))
+        self.without: dict[int, list[int]] = {}
+        for start, id_ in zip(of.tolist(), listed.tolist(), strict=True):
+            self.without.setdefault(start, []).append(id_)
+
+    def levels(self, start: int, seen: np.ndarray, mark: np.ndarray, stamp: int) -> Iterator[np.ndarray]:
+        """The nodes by their distance from `start`; visited ones have `stamp` in `seen`."""
+        front = np.array([start])
+        while front.size:
+            seen[front] = stamp
+            yield front
+            low = self.first[front]
+            n = self.first[front + 1] - low
+            ends = np.cumsum(n)
+            found = self.to[np.repeat(low - ends + n, n) + np.arange(ends[-1])]
+            found = found[seen[found] != stamp]
+            at = np.arange(found.size)
+            mark[found] = at
+            front = found[mark[found] == at]
+
+
+WALKED = StructType().add("start", StringType()).add("label", StringType()).add("n", IntegerType()).add("ids", ArrayType(StringType()))
+
+
+def _sent(names: pa.Array, walks: Iterator[tuple[int, str | None, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Batches of (start, label, n, ids) in rows of at most IDS ids, and about as many ids in each batch as in eight rows.
+
+    `n` is the number given, plus the ids of the row's walk before it where that is told by a negative one: ~n.
+    """
+    rows: list[tuple[int, str | None, int, np.ndarray]] = []
+    held = 0
+
+    def batch() -> pa.RecordBatch:
+        offsets = np.concatenate(([0], np.cumsum([len(r[3]) for r in rows]))).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(np.concatenate([r[3] for r in rows]))))
+        columns = [names.take(pa.array([r[0] for r in rows], pa.int32())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), ids]
+        return pa.RecordBatch.from_arrays(columns, names=["start", "label", "n", "ids"])
+
+    for start, label, n, ids in walks:
+        for at in range(0, len(ids), IDS):
+            rows.append((start, label, n if n >= 0 else ~n + at, ids[at : at + IDS]))
+            held += len(rows[-1][3])
+            if held >= 8 * IDS or len(rows) >= IDS:
+                yield batch()
+                rows, held = [], 0
+    if rows:
+        yield batch()
+
+
+def _spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if not (held := list(batches)):
+        return
+    part = _Part(held)
+    del held
+    wanted = np.zeros(part.n, dtype=bool)
+    wanted[part.targets] = True
+    seen, mark = np.full(part.n, -1, dtype=np.int64), np.zeros(part.n, dtype=np.int64)
+
+    def walks() -> Iterator[tuple[int, str | None, int, np.ndarray]]:
+        for stamp, (start, label) in enumerate(zip(part.starts.tolist(), part.labels, strict=True)):
+            left_out = [x for x in (start, *part.without.get(start, ())) if wanted[x]]
+            wanted[left_out] = False
+            for depth, level in enumerate(part.levels(start, seen, mark, stamp)):
+                yield start, label, depth, level[wanted[level]]
+            wanted[left_out] = True
+
+    yield from _sent(part.names, walks())
+
+
+def reached_targets(edges: DataFrame, starts: DataFrame, targets: DataFrame, without: DataFrame) -> DataFrame:
+    """(start, label, id, depth) of the `targets` (id) that edges (from_id, to_id) lead to from each of `starts` (id, label).
+
+    The start itself and the pairs of `without` (start, id) are left out; labels are passed on. Every task holds all edges, as
+    numbers, and walks its starts one by one: there are as many rows as starts and targets multiply to, so only they are
+    written, never shuffled or joined.
+    """
+    dealt = _dealt(edges.select("from_id", "to_id", F.lit(0).alias("n")), starts, targets, without)
+    return dealt.mapInArrow(_spread_out, WALKED).select("start", "label", F.explode("ids").alias("id"), F.col("n").alias("depth"))
+
+
 ORDERED = StructType().add("start", StringType()).add("id", StringType()).add("visit_seq", IntegerType())
 
 

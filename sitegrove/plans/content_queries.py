@@ -101,7 +101,9 @@ def css_imports_to_styles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cache_manifest_entries(spark: SparkSession, sf: str) -> DataFrame:
-    graph = T.add_cache_manifest(text_graph(spark, sf), {"is_initial": True})
+    # Without the texts and all else that entries don't depend on, which the holding rows would shuffle.
+    named = Graph(holding(table(spark, sf, "assets"), "type", "url", "is_loaded", "is_initial"), holding(table(spark, sf, "relations"), "type", "from_id", "to_id"))
+    graph = T.add_cache_manifest(named, {"is_initial": True})
     return graph.relations.where(F.col("type") == "CacheManifestEntry").select("from_id", "to_id")
 
 

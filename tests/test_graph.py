@@ -255,3 +255,18 @@ def test_crawl(spark):
     loaded, relations, notes = traverse.populate(web, web.where("id = '1'"), lambda pages: resolved(extract(pages), web), {"type": {"$not": "HtmlAnchor"}})
     assert ids(loaded) == ["1", "2"] and relations.count() == 4
     assert sorted((r.severity, r.message) for r in notes.collect()) == [("info", "cannot load http://h/m"), ("warn", "cannot load http://h/i")]
+
+
+def test_manifest_entries_of_many_pages_take_no_rounds(spark, monkeypatch):
+    n = 400
+    assets = [{"id": f"p{i}", "type": "Html", "url": f"http://h/p{i}.html"} for i in range(3)] + [{"id": f"c{i}", "type": "Css", "url": f"http://h/c{i}.css"} for i in range(n)] + [{"id": "m", "type": "CacheManifest", "url": "http://h/m"}]
+    chain = [{"from_id": f"c{i}", "to_id": f"c{(i + 1) % n}", "type": "CssImport"} for i in range(n)]
+    g = graph(spark, assets, [{"from_id": f"p{i}", "to_id": f"c{i}", "type": "HtmlStyle"} for i in range(3)] + [{"from_id": "p2", "to_id": "m", "type": "HtmlCacheManifest"}, {"from_id": "m", "to_id": "c5", "type": "CacheManifestEntry", "href": "c5.css"}, *chain])
+    monkeypatch.setattr(T.traverse, "reachable", None)
+    rows = [r for r in T.add_cache_manifest(g).relations.where("type = 'CacheManifestEntry'").collect() if r.to_id.startswith("c")]
+    by = {}
+    for r in rows:
+        by.setdefault(r.from_id, []).append(r)
+    assert len(by) == 3 and all(sorted(r.to_id for r in listed) == sorted(f"c{i}" for i in range(n)) for listed in by.values())
+    own = {r.to_id: r for r in by["m"]}
+    assert own["c2"].ord == 1 and own["c1"].ord == n and own["c1"].href == "c1.css" and own["c5"].href == "c5.css"
