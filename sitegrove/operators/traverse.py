@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
@@ -99,6 +98,16 @@ class _Part:
         for start, id_ in zip(of.tolist(), listed.tolist(), strict=True):
             self.without.setdefault(start, []).append(id_)
 
+    def keep(self, order: np.ndarray) -> None:
+        """Renumbers the nodes by their place in `order`; those that aren't in it, and their edges, go."""
+        number = np.full(self.n, -1, dtype=np.int64)
+        number[order] = np.arange(order.size)
+        n = np.diff(self.first)[order]
+        ends = np.cumsum(n)
+        self.to = number[self.to[np.repeat(self.first[:-1][order] - ends + n, n) + np.arange(n.sum())]]
+        self.first, self.starts, self.n = np.concatenate(([0], ends)), number[self.starts], order.size
+        self.names = self.names.take(pa.array(order))
+
     def levels(self, start: int, seen: np.ndarray, mark: np.ndarray, stamp: int) -> Iterator[np.ndarray]:
         """The nodes by their distance from `start`; visited ones have `stamp` in `seen`."""
         front = np.array([start])
@@ -118,7 +127,7 @@ class _Part:
 WALKED = StructType().add("start", StringType()).add("label", StringType()).add("n", IntegerType()).add("ids", ArrayType(StringType()))
 
 
-def _sent(names: pa.Array, walks: Iterator[tuple[int, str | None, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _sent(part: _Part, walks: Iterator[tuple[int, str | None, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Batches of (start, label, n, ids) in rows of at most IDS ids, and about as many ids in each batch as in eight rows.
 
     `n` is the number given, plus the ids of the row's walk before it where that is told by a negative one: ~n.
@@ -128,8 +137,8 @@ def _sent(names: pa.Array, walks: Iterator[tuple[int, str | None, int, np.ndarra
 
     def batch() -> pa.RecordBatch:
         offsets = np.concatenate(([0], np.cumsum([len(r[3]) for r in rows]))).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(np.concatenate([r[3] for r in rows]))))
-        columns = [names.take(pa.array([r[0] for r in rows], pa.int32())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), ids]
+        ids = pa.ListArray.from_arrays(pa.array(offsets), part.names.take(pa.array(np.concatenate([r[3] for r in rows]))))
+        columns = [part.names.take(pa.array([r[0] for r in rows], pa.int32())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), ids]
         return pa.RecordBatch.from_arrays(columns, names=["start", "label", "n", "ids"])
 
     for start, label, n, ids in walks:
@@ -160,7 +169,7 @@ def _spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield start, label, depth, level[wanted[level]]
             wanted[left_out] = True
 
-    yield from _sent(part.names, walks())
+    yield from _sent(part, walks())
 
 
 def reached_targets(edges: DataFrame, starts: DataFrame, targets: DataFrame, without: DataFrame) -> DataFrame:
@@ -174,30 +183,64 @@ def reached_targets(edges: DataFrame, starts: DataFrame, targets: DataFrame, wit
     return dealt.mapInArrow(_spread_out, WALKED).select("start", "label", F.explode("ids").alias("id"), F.col("n").alias("depth"))
 
 
-ORDERED = StructType().add("start", StringType()).add("id", StringType()).add("visit_seq", IntegerType())
-
-
-def _walk(post: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        start = rows["start"].iloc[0]
-        children: dict[str, list[str]] = {}
-        for f, t in rows.sort_values(["from_id", "ord", "edge"], kind="stable")[["from_id", "to_id"]].itertuples(index=False):
-            if f is not None and t is not None:
-                children.setdefault(f, []).append(t)
-        seen, out, stack = {start}, [] if post else [start], [(start, iter(children.get(start, ())))]
-        while stack:
-            node, rest = stack[-1]
-            following = next((c for c in rest if c not in seen), None)
-            if following is None:
-                stack.pop()
-                if post:
-                    out.append(node)
+def _walked(part: _Part, post: bool) -> Iterator[tuple[int, str | None, int, np.ndarray]]:
+    """(start, None, ~0, nodes) of each start: its nodes in depth-first order.
+
+    Nodes are first put in the order in which one walk through all starts leaves them, so that what is walked together lies
+    together in memory; the names go with them.
+    """
+
+    def children() -> list[tuple[int, ...]]:
+        to, ends = part.to.tolist(), part.first.tolist()
+        return [tuple(to[low:high]) for low, high in zip(ends, ends[1:])]
+
+    def walk(start: int, after: bool) -> list[int]:
+        """The nodes not in `seen` that `start` leads to; children without children aren't stacked."""
+        met, under = seen, below
+        met[start] = 1
+        out, nodes, iterators = [] if after else [start], [], []
+        add, node, rest = out.append, start, iter(under[start])
+        while True:
+            for child in rest:
+                if not met[child]:
+                    met[child] = 1
+                    if not after:
+                        add(child)
+                    if under[child]:
+                        nodes.append(node)
+                        iterators.append(rest)
+                        node, rest = child, iter(under[child])
+                        break
+                    if after:
+                        add(child)
             else:
-                seen.add(following)
-                if not post:
-                    out.append(following)
-                stack.append((following, iter(children.get(following, ()))))
-        return pd.DataFrame({"start": start, "id": out, "visit_seq": range(len(out))})
+                if after:
+                    add(node)
+                if not nodes:
+                    return out
+                node, rest = nodes.pop(), iterators.pop()
+
+    below, seen = children(), bytearray(part.n)
+    order = [x for start in part.starts.tolist() if not seen[start] for x in walk(start, True)]
+    below, seen = None, None
+    part.keep(np.array(order, dtype=np.int64))
+    below, seen = children(), bytearray(part.n)
+    for start in part.starts.tolist():
+        out = walk(start, post)
+        if len(out) > part.n // 8:
+            seen = bytearray(part.n)
+        else:
+            for x in out:
+                seen[x] = 0
+        yield start, None, ~0, np.array(out, dtype=np.int32)
+
+
+def _ordered(post: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            part = _Part(held)
+            del held
+            yield from _sent(part, _walked(part, post))
 
     return walk
 
@@ -205,13 +248,13 @@ def _walk(post: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def collect_assets(relations: DataFrame, assets: DataFrame, starts: DataFrame, follow: Query = None, post: bool = False) -> DataFrame:
     """(start, id, visit_seq) in depth-first order, children in edge order, each asset once per start.
 
-    The set is found by the frontier loop. The order itself depends on every step before, so each start's own edges are
-    walked in one task: meant for starts whose reach is a page's, not a whole site's; use reachable() for sets.
+    The order depends on every step before, so each start is walked in one task, which holds all edges as numbers; there are as
+    many rows as starts and assets multiply to, so they are only written. Use reachable() for sets of more edges than that.
     """
-    edges = find_relations(relations, assets, follow).select("from_id", "to_id", "ord", F.col("id").alias("edge")).where(F.col("to_id").isNotNull())
-    reach = reachable(edges, starts)
-    own = reach.select("start", F.col("id").alias("from_id")).join(edges, "from_id", "left").select("start", "from_id", "to_id", "ord", "edge")
-    return own.groupBy("start").applyInPandas(_walk(post), ORDERED)
+    place = F.row_number().over(Window.partitionBy("from_id").orderBy(F.asc_nulls_last("ord"), F.asc_nulls_last("edge")))
+    edges = find_relations(relations, assets, follow).select("from_id", "to_id", "ord", F.col("id").alias("edge")).where(F.col("from_id").isNotNull() & F.col("to_id").isNotNull())
+    dealt = _dealt(edges.select("from_id", "to_id", place.alias("n")), starts.select("id").distinct().withColumn("label", F.lit(None).cast("string")))
+    return dealt.mapInArrow(_ordered(post), WALKED).select("start", F.posexplode("ids").alias("_at", "id"), "n").select("start", "id", (F.col("n") + F.col("_at")).alias("visit_seq"))
 
 
 def populate(web: DataFrame, starts: DataFrame, extract: Callable[[DataFrame], DataFrame], follow: Query = None, stop: Query = None, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

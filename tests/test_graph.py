@@ -270,3 +270,20 @@ def test_manifest_entries_of_many_pages_take_no_rounds(spark, monkeypatch):
     assert len(by) == 3 and all(sorted(r.to_id for r in listed) == sorted(f"c{i}" for i in range(n)) for listed in by.values())
     own = {r.to_id: r for r in by["m"]}
     assert own["c2"].ord == 1 and own["c1"].ord == n and own["c1"].href == "c1.css" and own["c5"].href == "c5.css"
+
+
+def test_order_of_long_chains_takes_no_rounds(spark, monkeypatch):
+    n = 9000
+    chain = [{"from_id": f"c{i}", "to_id": f"c{(i + 1) % n}", "ord": 1} for i in range(n)]
+    g = graph(spark, [{"id": "c0"}], [*chain, {"from_id": "c0", "to_id": "x", "ord": None}, {"from_id": "c0", "to_id": "y", "ord": 0}, {"from_id": "c9", "to_id": None, "ord": 0}, {"from_id": "alone", "to_id": None}])
+    monkeypatch.setattr(traverse, "reachable", None)
+    start = spark.createDataFrame([("c0",), ("c7",), ("alone",), ("c0",), (None,)], "id string")
+    for post in (False, True):
+        rows = traverse.collect_assets(g.relations, g.assets, start, post=post).orderBy("start", "visit_seq").collect()
+        got = {s: [r.id for r in rows if r.start == s] for s in ("alone", "c0", "c7")}
+        down = [f"c{i}" for i in range(n)]
+        assert len(rows) == sum(map(len, got.values())) and [r.visit_seq for r in rows if r.start == "c7"] == list(range(n + 2))
+        assert got["alone"] == ["alone"]
+        assert got["c0"] == (["y", *down[:0:-1], "x", "c0"] if post else ["c0", "y", *down[1:], "x"])
+        assert got["c7"] == (["y", *down[6:0:-1], "x", "c0", *down[:6:-1]] if post else [*down[7:], "c0", "y", *down[1:7], "x"])
+    assert traverse.collect_assets(g.relations, g.assets, start.limit(0)).count() == 0
